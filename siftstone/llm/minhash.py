@@ -7,10 +7,12 @@ which are confirmed on full shingle sets.
 
 Equal sets are one class from the start, so exact copies cost one row each.  In
 a band's bucket every member is confirmed against the two ends of the bucket
-(smallest and largest id) first.  What these stars leave apart is then
-compared, class by class, without the members that the largest class of the
-bucket holds already; so no link between buckets' members is given up, and a
-large group that is linked through its ends makes a linear number of pairs.
+first: the members whose id, mixed with the band, is least and greatest.  As
+each band mixes otherwise, a member of a large group meets up to 2 * BANDS
+different ends.  What these stars leave apart is then compared, class by class,
+without the members that the largest class of the bucket holds already; so no
+link between buckets' members is given up, and a large group that is linked
+through its ends makes a linear number of pairs.
 """
 
 from __future__ import annotations
@@ -163,8 +165,10 @@ def near_duplicates(
     )
 
     in_band = classes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = in_band.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = materialise(in_band.join(buckets, "band"), "buckets")
+    mixed = F.col("node").bitwiseXOR(F.col("band"))
+    end = lambda name: F.col(name).bitwiseXOR(F.col("band")).alias(name)
+    buckets = in_band.groupBy("band").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low < high")
+    shared = materialise(in_band.join(buckets.select("band", end("low"), end("high")), "band"), "buckets")
 
     wanted = shared.select("node").distinct()
     sets = materialise(
@@ -173,8 +177,9 @@ def near_duplicates(
     )
 
     stars = (
-        shared.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
-        .unionByName(shared.where("node < high").select(F.col("node").alias("a"), F.col("high").alias("b")))
+        shared.select("node", F.explode(F.array("low", "high")).alias("end"))
+        .where("node <> end")
+        .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
         .distinct()
     )
     of_class = filled.select("doc_id", "set_key").join(classes.select("set_key", "node"), "set_key")
