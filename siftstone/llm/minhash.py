@@ -9,10 +9,12 @@ Equal sets are one class from the start, so exact copies cost one row each.  In
 a band's bucket every member is confirmed against the two ends of the bucket
 first: the members whose id, mixed with the band, is least and greatest.  As
 each band mixes otherwise, a member of a large group meets up to 2 * BANDS
-different ends.  What these stars leave apart is then compared, class by class,
-without the members that the largest class of the bucket holds already; so no
-link between buckets' members is given up, and a large group that is linked
-through its ends makes a linear number of pairs.
+different ends.  Buckets whose members are still apart are joined into clouds by
+the members they share.  In a cloud everything outside its largest component is
+compared with everything, block against block: a task counts the shingles that
+two blocks of sets have in common and returns links, never pairs.  So no link
+between members of a bucket is given up, and a large group that is linked
+through its ends costs a linear number of pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ THRESHOLD = 75
 BANDS, ROWS = 40, 5
 STEP = 0x9E3779B1
 _BLOCK = 2048
+#: Sets of a block that is compared with another, and shared shingles that are counted at once.
+_BLOCK_NODES, _COLUMNS = 256, 4096
 
 
 def _document_shingles(words: _words.Words) -> Iterator[np.ndarray]:
@@ -136,6 +140,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of ``left`` has in common with each of ``right``; sets are of distinct integers."""
+
+    def flat(sets):
+        return np.concatenate(sets) if sets else np.zeros(0, np.int64)
+
+    shared = np.intersect1d(flat(left), flat(right))
+    counts = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for sets in (left, right):
+        values, owner = flat(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        spot = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        inside = shared[spot] == values if len(shared) else np.zeros(len(values), bool)
+        spot, owner = spot[inside], owner[inside]
+        order = np.argsort(spot, kind="stable")
+        places.append((spot[order], owner[order], len(sets)))
+    for first in range(0, len(shared), _COLUMNS):
+        tables = []
+        for spot, owner, size in places:
+            low, high = np.searchsorted(spot, [first, first + _COLUMNS])
+            table = np.zeros((size, _COLUMNS), np.float32)
+            table[owner[low:high], spot[low:high] - first] = 1
+            tables.append(table)
+        counts += tables[0] @ tables[1].T
+    return counts.astype(np.int64)
+
+
+def _block_links(threshold: int):
+    """Links of a block of nodes with another: for each node one with each component that it reaches there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            sets = [[x.values.to_numpy() for x in t["shingles"]] for t in (left, right)]
+            nodes = [t["node"].to_numpy() for t in (left, right)]
+            labels = [t["label"].to_numpy() for t in (left, right)]
+            sizes = [np.array([len(s) for s in x]) for x in sets]
+            common = _common(*sets)
+            union = sizes[0][:, None] + sizes[1][None, :] - common
+            found = (100 * common >= threshold * union) & (labels[0][:, None] != labels[1][None, :])
+            for i in np.flatnonzero(found.any(axis=1)).tolist():
+                at = np.flatnonzero(found[i])
+                _, first = np.unique(labels[1][at], return_index=True)
+                b += nodes[1][at[first]].tolist()
+                a += [int(nodes[0][i])] * len(first)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _between_components(open_rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components among the rows (band, node, label) of buckets that hold several."""
+    first = open_rows.groupBy("band").agg(F.min("node").alias("a"))
+    clouds = components(open_rows.select("band", F.col("node").alias("b")).join(first, "band").select("a", "b"))
+    nodes = open_rows.select("node", "label").distinct().join(clouds, "node", "left").select("node", "label", F.coalesce("root", "node").alias("cloud"))
+    counts = nodes.groupBy("cloud", "label").agg(F.count("*").alias("n"))
+    each = counts.groupBy("cloud").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
+    blocks = lambda rows: F.ceil(rows / _BLOCK_NODES).cast("int")
+    clouds = each.where(F.col("total") > F.col("most.n")).select(
+        "cloud", F.col("most.label").alias("main"), blocks(F.col("total") - F.col("most.n")).alias("rows"), blocks(F.col("total")).alias("columns")
+    )
+    full = materialise(nodes.join(clouds, "cloud").join(sets, "node"), "open_sets")
+    deal = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = full.where("label <> main").select("cloud", "node", "label", "shingles", deal("rows", 1).alias("i"), every("columns").alias("j"))
+    right = full.select("cloud", "node", "label", "shingles", deal("columns", 2).alias("j"), every("rows").alias("i"))
+    key = ("cloud", "i", "j")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_links(threshold), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -190,25 +264,8 @@ def near_duplicates(
 
     labelled = shared.join(roots, "node", "left").select("band", "node", "n", "low", "high", F.coalesce("root", "node").alias("label"))
     apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    open_rows = materialise(
-        labelled.join(apart, "band").where("node <> low and node <> high").select("band", "node", "n", "label"), "open"
-    )
-    main = (
-        open_rows.groupBy("band", "label").agg(F.count("*").alias("size"))
-        .groupBy("band").agg(F.max(F.struct("size", "label")).alias("most"))
-        .select("band", F.col("most.label").alias("main"))
-    )
-    minor = open_rows.join(main, "band").where("label <> main").select(
-        "band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label")
-    )
-    rest = (
-        minor.join(open_rows, "band")
-        .where("label <> x_label and node <> x")
-        .where(100 * F.least("n", "x_n") >= threshold * F.greatest("n", "x_n"))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
-    )
-    late = materialise(_confirmed(rest, sets, threshold), "late_links")
+    open_rows = materialise(labelled.join(apart, "band").where("node <> low and node <> high").select("band", "node", "label"), "open")
+    late = materialise(_between_components(open_rows, sets, threshold), "late_links")
     if not late.isEmpty():
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late))
 
