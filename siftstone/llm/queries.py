@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import bpe, langid, minhash, quality, secrets, substrings, topk
+from siftstone.llm import bpe, decontaminate, langid, lm, minhash, order, quality, secrets, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.shards(order.ordered_sequences(_table(spark, sf_dir, "documents")))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(_table(spark, sf_dir, "documents"))
 
@@ -45,10 +57,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_ngram_scores,
+        op3_training_order,
         op4_byte_bpe,
         op5_secret_scan,
         op6_language_id,
         op7_quality,
+        op8_decontamination,
         op9_substring_dedup,
         op10_exact_top_k,
     )

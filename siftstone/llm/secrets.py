@@ -163,10 +163,13 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(
+    docs: DataFrame, text_col: str = "text", mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS, length_col: str | None = None
+) -> DataFrame:
     """``docs`` with each base or live span that is not a widely copied example replaced by ``mark``.
 
-    Columns and rows stay as they are, and so does a text without such spans.
+    Columns and rows stay as they are, and so does a text without such spans;
+    ``length_col``, if given, gets the new length of a text that has changed.
     """
     spans = scan(docs, text_col=text_col, example_owners=example_owners)
     example = F.filter("spans", lambda s: s["rank"] == 4)
@@ -191,4 +194,8 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", exam
     rest = lambda acc: F.concat(acc["done"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1)))
     joined = docs.join(hidden, text_key(F.col(text_col)) == F.col("__text_key"), "left")
     clean = F.when(F.col("__hide").isNull(), F.col(text_col)).otherwise(F.aggregate("__hide", start, hide, rest))
-    return joined.withColumn(text_col, clean).select(*docs.columns)
+    out = joined.withColumn(text_col, clean)
+    if length_col:
+        length = F.length(text_col).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.when(F.col("__hide").isNull(), F.col(length_col)).otherwise(length))
+    return out.select(*docs.columns)
