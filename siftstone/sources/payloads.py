@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _TRIMMED = r"^\s+|\s+$"
 
@@ -71,7 +70,7 @@ def corpus(spark: SparkSession, path: str, category: str, expect_injection: bool
     )
 
 
-CASE = T.StructType.fromDDL("suite string, file string, name string, input binary, expected array<string>")
+CASE = "suite string, file string, name string, input binary, expected array<string>"
 
 
 def golden_cases(spark: SparkSession, path: str, suite: str) -> DataFrame:
@@ -88,7 +87,7 @@ def golden_cases(spark: SparkSession, path: str, suite: str) -> DataFrame:
     given = {"tokens": raw, "folding": F.coalesce(_trim(F.try_element_at(filled, F.lit(1))), F.lit("")), "html5": F.regexp_replace(raw, r"\A(\r?\n)+", "")}
     expected = F.filter(F.transform(F.split(part("EXPECTED", "TEST"), r"\r?\n"), lambda line: F.rtrim(line)), lambda line: line != "")
     return whole.select(
-        F.lit(suite).alias("suite"), "file", F.trim(part("TEST", "INPUT")).alias("name"), given[suite].cast("binary").alias("input"), expected.alias("expected")
+        F.lit(suite).alias("suite"), "file", _trim(part("TEST", "INPUT")).alias("name"), given[suite].cast("binary").alias("input"), expected.alias("expected")
     )
 
 
