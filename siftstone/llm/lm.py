@@ -35,7 +35,7 @@ from siftstone.llm.eliasfano import Trie, dequantise, quantise
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 BATCH_TOKENS = 500_000
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 750_000
 DISCOUNT = 0.8
 #: Hashes of the marks: two before a text, its end, and padding beyond it.
 _BEGIN1, _BEGIN2, _END, _PAD = (np.uint64(0xA5A5_0000_0000_0001 + (i << 40)) for i in range(4))
@@ -43,6 +43,43 @@ _MARKS = np.array([_BEGIN1, _BEGIN2, _END, _PAD])
 _U = np.uint64
 
 
+# ---------------------------------------------------------------- packing
+
+
+def _squeeze(array: np.ndarray) -> bytes:
+    """Compressed bytes of an array, all first bytes before all second ones."""
+    import zstandard
+
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _loosen(data, kind) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    head = np.array([len(a) for a in arrays], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+
+
+def _unpack(data, *kinds) -> list[np.ndarray]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    lengths = np.frombuffer(data, np.int64, len(kinds))
+    at, out = 8 * len(kinds), []
+    for kind, length in zip(kinds, lengths.tolist()):
+        out.append(np.frombuffer(data, kind, length, at))
+        at += out[-1].nbytes
+    return out
+
+
 # ---------------------------------------------------------------- batches
 
 
@@ -65,8 +102,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 pa.ListArray.from_arrays(pa.array([0, len(folds)], pa.int32()), folds),
                 as_list(lengths),
-                pa.array([vocabulary.tobytes()], pa.binary()),
-                pa.array([places[len(_MARKS) :].astype(np.int32).tobytes()], pa.binary()),
+                pa.array([_squeeze(np.diff(vocabulary, prepend=_U(0)))], pa.binary()),
+                pa.array([_squeeze(places[len(_MARKS) :].astype(np.int32))], pa.binary()),
                 pa.array([tokens], pa.int64()),
                 as_list(vocabulary[heavy_words[often]].view(np.int64)),
                 as_list(heavy_counts[often]),
@@ -86,15 +123,42 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
+def _vocabulary(data) -> np.ndarray:
+    return np.cumsum(_loosen(data, np.uint64), dtype=np.uint64)
+
+
+class _Deal:
+    """How a batch's words are dealt to shards: what is left of the words where only that is needed.
+
+    ``deal`` has a number for each word, 16 bits of its hash while shards are
+    few; ``marks`` are the places of the marks, ``heavy`` those of the words
+    that go to several shards, and ``parts`` how many.
+    """
+
+    def __init__(self, deal: np.ndarray, marks: np.ndarray, heavy: np.ndarray, parts: np.ndarray):
+        self.deal, self.marks, self.heavy, self.parts = deal, marks, heavy, parts
+
+    @classmethod
+    def of(cls, vocabulary: np.ndarray, shards: int, heavy: dict[int, int]) -> _Deal:
+        deal = (vocabulary >> _U(48)).astype(np.uint16) if shards <= 1024 else vocabulary
+        at = np.flatnonzero(np.isin(vocabulary, np.array(list(heavy), _U))) if heavy else np.zeros(0, np.int64)
+        parts = np.array([heavy[h] for h in vocabulary[at].tolist()], np.int64)
+        return cls(deal, np.searchsorted(vocabulary, _MARKS), at, parts)
+
+
+def _home(vocabulary_hash: int, shards: int) -> int:
+    """The shard of a word, or the first of a heavy one's."""
+    return (vocabulary_hash >> 48 if shards <= 1024 else vocabulary_hash) % shards
+
+
 class _Layout:
     """The distinct trigrams of a batch in the order of their shards; the same wherever it is computed."""
 
-    def __init__(self, row: dict, shards: int, heavy: dict[int, int]):
-        self.vocabulary = np.frombuffer(row["vocabulary"], _U)
-        places = np.frombuffer(row["places"], np.int32).astype(np.int64)
-        lengths = np.asarray(row["lengths"], np.int64)
+    def __init__(self, deal: _Deal, places: np.ndarray, lengths: np.ndarray, shards: int):
+        places = places.astype(np.int64)
+        lengths = np.asarray(lengths, np.int64)
         self.lengths = lengths
-        marks = np.searchsorted(self.vocabulary, _MARKS)
+        marks = deal.marks
         # each text becomes BEGIN1 BEGIN2 words END PAD PAD
         firsts = np.concatenate([[0], np.cumsum(lengths + 5)])
         sequence = np.empty(firsts[-1], np.int64)
@@ -109,16 +173,16 @@ class _Layout:
         begins[firsts[1:] - 1] = begins[firsts[1:] - 2] = False
         at = np.flatnonzero(begins)
         u, v, w = sequence[at], sequence[at + 1], sequence[at + 2]
-        size = len(self.vocabulary)
+        size = self.size = len(deal.deal)
         pairs, pair_of = np.unique(u * size + v, return_inverse=True)
         triples, triple_of = np.unique(pair_of * size + w, return_inverse=True)
         pair_of_triple = triples // size
         pair_u, pair_v = pairs // size, pairs % size
         parts = np.ones(size, np.int64)
-        is_heavy = np.isin(self.vocabulary, np.array(list(heavy), _U)) if heavy else np.zeros(size, bool)
-        parts[is_heavy] = [heavy[h] for h in self.vocabulary[is_heavy].tolist()]
-        shard = (self.vocabulary[pair_u] % _U(shards)).astype(np.int64)
-        shard += (self.vocabulary[pair_v] >> _U(7)).astype(np.int64) % parts[pair_u]
+        parts[deal.heavy] = deal.parts
+        number = deal.deal.astype(_U)
+        shard = (number[pair_u] % _U(shards)).astype(np.int64)
+        shard += (_words.mix(number[pair_v]) >> _U(33)).astype(np.int64) % parts[pair_u]
         shard %= shards
         pair_order = np.argsort(shard, kind="stable")
         triple_order = np.argsort(shard[pair_of_triple], kind="stable")
@@ -130,14 +194,14 @@ class _Layout:
         back3[triple_order] = np.arange(len(triple_order))
         self.pair_at, self.triple_at = back[pair_of], back3[triple_of]  # of each trigram's beginning
         self.begin_doc = np.repeat(np.arange(len(lengths)), lengths + 3)
-        self.heavy = [(i, int(parts[i])) for i in np.flatnonzero(is_heavy).tolist()]
+        self.heavy = [(i, int(number[i] % _U(shards)), n) for i, n in zip(deal.heavy.tolist(), deal.parts.tolist())]
+        self.dealt = parts > 1
         self.shards = shards
 
     def blocks(self):
         """(shard, words, first and last pair, first and last triple) of each block; words rise."""
         extra: dict[int, list[int]] = {}
-        for word, parts in self.heavy:  # its count is the sum over all of its shards
-            home = int(self.vocabulary[word] % _U(self.shards))
+        for word, home, parts in self.heavy:  # its count is the sum over all of its shards
             for shard in {(home + j) % self.shards for j in range(parts)}:
                 extra.setdefault(shard, []).append(word)
         shards = np.union1d(self.shard, np.array(list(extra), np.int64))
@@ -150,51 +214,46 @@ class _Layout:
             yield shard, words, a, z, *triple_bounds[:, i].tolist()
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) for a in arrays], np.int64)
-    return head.tobytes() + b"".join(a.tobytes() for a in arrays)
+#: Words, pairs of each, hashes of second words, triples of each pair, low and high bytes of hashes of third words, counts.
+_BLOCK = (np.uint64, np.int32, np.uint32, np.int32, np.uint8, np.uint8, np.uint32)
+_ANSWER = (np.int64, np.int64, np.uint16, np.uint16, np.uint16)
 
 
-def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    lengths = np.frombuffer(data, np.int64, len(kinds))
-    at, out = 8 * len(kinds), []
-    for kind, length in zip(kinds, lengths.tolist()):
-        out.append(np.frombuffer(data, kind, length, at))
-        at += out[-1].nbytes
-    return out
+def _prints(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(32)).astype(np.uint32)
 
 
-_BLOCK = (np.uint64, np.int32, np.uint32, np.int32, np.uint32, np.uint32)
-_ANSWER = (np.int64, np.int64, np.uint16, np.uint16, np.uint16)
+def _split_prints(prints: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three bytes of each third word, and a fourth one where ``wide``: after a word with very many followers."""
+    octets = prints.view(np.uint8).reshape(-1, 4)
+    return octets[:, :3].ravel(), octets[wide, 3]
 
 
-def _prints(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(32)).astype(np.uint32)
+def _joined_prints(low: np.ndarray, high: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    octets = np.zeros((len(wide), 4), np.uint8)
+    octets[:, :3] = low.reshape(-1, 3)
+    octets[wide, 3] = high
+    return octets.view(np.uint32).ravel()
 
 
 def _send(shards: int, heavy: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in ("vocabulary", "places", "lengths", "held")}
-                row = {k: v.as_buffer() if isinstance(v, pa.BinaryScalar) else v.values.to_numpy(zero_copy_only=False) for k, v in row.items()}
-                layout = _Layout(row, shards, heavy)
-                learned = ~np.asarray(row["held"], bool)
+                vocabulary = _vocabulary(batch.column("vocabulary")[i].as_buffer())
+                places = _loosen(batch.column("places")[i].as_buffer(), np.int32)
+                layout = _Layout(_Deal.of(vocabulary, shards, heavy), places, batch.column("lengths")[i].values.to_numpy(), shards)
+                learned = ~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
                 counts = np.bincount(layout.triple_at, weights=learned[layout.begin_doc], minlength=len(layout.triple_w)).astype(np.uint32)
                 out: dict[str, list] = {"shard": [], "block": []}
                 for shard, words, a, z, a3, z3 in layout.blocks():
                     pairs = np.bincount(np.searchsorted(words, layout.pair_u[a:z]), minlength=len(words)).astype(np.int32)
                     triples = np.bincount(layout.triple_pair[a3:z3] - a, minlength=z - a).astype(np.int32)
+                    wide = layout.dealt[layout.pair_u[layout.triple_pair[a3:z3]]]
+                    third = _split_prints(_prints(vocabulary[layout.triple_w[a3:z3]]), wide)
                     out["shard"].append(shard)
                     out["block"].append(
-                        _pack(
-                            layout.vocabulary[words],
-                            pairs,
-                            _prints(layout.vocabulary[layout.pair_v[a:z]]),
-                            triples,
-                            _prints(layout.vocabulary[layout.triple_w[a3:z3]]),
-                            counts[a3:z3],
-                        )
+                        _pack(vocabulary[words], pairs, _prints(vocabulary[layout.pair_v[a:z]]), triples, *third, counts[a3:z3])
                     )
                 names = pa.array([batch.column("batch")[i].as_py()] * len(out["shard"]))
                 yield pa.record_batch([names, pa.array(out["shard"], pa.int32()), pa.array(out["block"], pa.binary())], names=["batch", "shard", "block"])
@@ -202,6 +261,25 @@ def _send(shards: int, heavy: dict[int, int]):
     return run
 
 
+def _slim(shards: int, heavy: dict[int, int]):
+    """Batches without their words: numbers that tell shards are enough to put answers in place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deals = [_Deal.of(_vocabulary(x.as_buffer()), shards, heavy) for x in batch.column("vocabulary")]
+            lists = [[d.marks.tolist() for d in deals], [d.heavy.tolist() for d in deals], [d.parts.tolist() for d in deals]]
+            yield pa.record_batch(
+                [
+                    *(batch.column(n) for n in ("batch", "ids", "held", "lengths", "places")),
+                    pa.array([_squeeze(d.deal) for d in deals], pa.binary()),
+                    *(pa.array(x, pa.list_(pa.int64())) for x in lists),
+                ],
+                names=["batch", "ids", "held", "lengths", "places", "deal", "marks", "heavy", "parts"],
+            )
+
+    return run
+
+
 # ---------------------------------------------------------------- shards
 
 
@@ -215,6 +293,13 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first][some], sums[some]
 
 
+def _read_block(data, heavy: dict[int, int]) -> list[np.ndarray]:
+    """Words, pairs of each, hashes of second words, triples of each pair, hashes of third words, counts."""
+    words, pairs, second, triples, low, high, counts = _unpack(data, *_BLOCK)
+    dealt = np.isin(words, np.array(list(heavy), _U)) if heavy else np.zeros(len(words), bool)
+    return [words, pairs, second, triples, _joined_prints(low, high, np.repeat(np.repeat(dealt, pairs), triples)), counts]
+
+
 def build_trie(blocks: list[list[np.ndarray]]) -> tuple[Trie, np.ndarray, np.ndarray]:
     """The trie of what the blocks' texts teach; also the hash and count of each word in it."""
     words = [np.repeat(b[0], b[1]) for b in blocks]
@@ -272,13 +357,13 @@ def answer(trie: Trie, block: list[np.ndarray]) -> list[np.ndarray]:
 
 def _shard(shards: int, heavy: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
-        blocks = [_unpack(x.as_buffer(), *_BLOCK) for x in table["block"]]
+        blocks = [_read_block(x.as_buffer(), heavy) for x in table["block"]]
         trie, names, counts = build_trie(blocks)
         shard = table["shard"][0].as_py()
         real = ~np.isin(names, _MARKS[[0, 1, 3]])
         names, counts = names[real], counts[real]
         dealt = np.isin(names, np.array(list(heavy), _U)) if heavy else np.zeros(len(names), bool)
-        types = int((~dealt).sum()) + sum(int(h % shards) == shard for h in heavy)
+        types = int((~dealt).sum()) + sum(_home(h, shards) == shard for h in heavy)
         singles = int((counts[~dealt] == 1).sum())
         rows = [_pack(*answer(trie, b)) for b in blocks]
         totals = [[int(counts.sum())], [types], [singles]]
@@ -299,7 +384,7 @@ def _shard(shards: int, heavy: dict[int, int]):
 # ---------------------------------------------------------------- scores
 
 
-def _assemble(shards: int, heavy: dict[int, int], tokens: int, types: int, singles: int):
+def _assemble(shards: int, tokens: int, types: int, singles: int):
     total, kinds = max(tokens, 1), max(types, 1)
     free = max(singles, 1) / kinds * 0.999  # what each known word gives to the unknown
     unknown = free * kinds / total if tokens else 1.0
@@ -307,10 +392,12 @@ def _assemble(shards: int, heavy: dict[int, int], tokens: int, types: int, singl
     def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for i in range(batch.num_rows):
-            row = {n: batch[n][i].as_buffer() for n in ("vocabulary", "places")} | {"lengths": batch["lengths"][i].values.to_numpy()}
-            layout = _Layout(row, shards, heavy)
+            numbers = [batch[n][i].values.to_numpy() for n in ("marks", "heavy", "parts")]
+            deal = _Deal(_loosen(batch["deal"][i].as_buffer(), np.uint16 if shards <= 1024 else np.uint64), *numbers)
+            places = _loosen(batch["places"][i].as_buffer(), np.int32)
+            layout = _Layout(deal, places, batch["lengths"][i].values.to_numpy(), shards)
             found = {s.as_py(): x.as_buffer() for s, x in zip(answers["shard"], answers["answer"])}
-            size = len(layout.vocabulary)
+            size = layout.size
             count, followers = np.zeros(size, np.int64), np.zeros(size, np.int64)
             pair, back, triple = (np.zeros(n, np.uint16) for n in (len(layout.pair_u), len(layout.pair_u), len(layout.triple_w)))
             for shard, words, a, z, a3, z3 in layout.blocks():
@@ -391,6 +478,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         "answers",
     )
     totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "singles"))).first()
-    own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places")
+    own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places").mapInArrow(
+        _slim(shards, heavy),
+        "batch string, ids array<long>, held array<boolean>, lengths array<long>, places binary, deal binary, marks array<long>, heavy array<long>, parts array<long>",
+    )
     replies = answers.where("answer is not null").select("batch", "shard", "answer")
-    return own.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_assemble(shards, heavy, *totals), _RESULT)
+    return own.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_assemble(shards, *totals), _RESULT)
