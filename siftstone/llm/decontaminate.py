@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,11 @@ SAMPLED, TABLES = 2, 96
 MEETING, RECALL = 0.22, 0.99
 #: Words of items that are sent to all tasks at once, about 32 MB; more items are looked for in several passes.
 ITEM_WORDS = 1 << 22
+WALKS = 4
 #: Windows begin at every STEP-th shift around a piece.
 STEP = 2
+#: Windows whose walks are held at once.
+_WINDOWS = 4096
 
 _U = np.uint64
 
@@ -77,45 +81,50 @@ class Items:
         self.keys = np.array(keys, _U)[order]
         self.spots = np.array(spots, np.int64).reshape(-1, 3)[order]
         self.lengths = sorted({s[2] for s in spots})
-        #: By size: table keys, rising, and the item of each.
-        self.tables = {}
-        for size in {len(w) for w in self.words}:
-            of = [i for i, w in enumerate(self.words) if len(w) == size]
-            found = table_keys(np.stack([self.words[i] for i in of]))
-            owner = np.repeat(np.array(of), found.shape[1])
-            order = np.argsort(found.ravel(), kind="stable")
-            self.tables[size] = found.ravel()[order], owner[order]
-
-
-def _walk(windows: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK outputs of ``steps`` places; beyond a window's end all places are padding."""
-    count, size = windows.shape
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.edits = self.sizes * EDITS // 100
+        #: Table keys of all items, rising, and the item of each.
+        found = table_keys(np.stack([np.pad(w, (0, int(self.sizes.max()) - len(w))) for w in self.words]), self.sizes)
+        owner = np.repeat(np.arange(len(self.words)), found.shape[1])
+        order = np.argsort(found.ravel(), kind="stable")
+        self.table, self.owner = found.ravel()[order], owner[order]
+
+
+def _walk(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """CGK outputs, twice as many places as the longest window has words; beyond a window's end all places are padding."""
+    count, longest = windows.shape
     padded = np.concatenate([windows, np.zeros((count, 1), _U)], axis=1)
     at = np.zeros(count, np.int64)
-    out = np.empty((count, steps), _U)
+    out = np.empty((2 * longest, count), _U)
     rows = np.arange(count)
-    for t in range(steps):
+    for t in range(2 * longest):
         word = padded[rows, at]
-        out[:, t] = word
+        out[t] = word
         move = (_words.mix(word + _U(0x9E3779B97F4A7C15 * (seed * 4096 + t + 1) % (1 << 64))) >> _U(63)).astype(np.int64)
-        at = np.minimum(at + move, size)
+        at = np.minimum(at + move, sizes)
     return out
 
 
-def table_keys(windows: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """A key for each window of the same size and each table; several walks share the tables."""
-    size = windows.shape[1]
-    walks, steps = 4, 2 * size
+@lru_cache(maxsize=4096)
+def _sampled(size: int, walk: int) -> np.ndarray:
+    """The places that each table of a walk takes of the outputs of windows of ``size`` words."""
+    chosen = np.random.Generator(np.random.PCG64([size, walk])).integers(0, 2 * size, (TABLES // WALKS, SAMPLED))
+    return np.sort(chosen, axis=1)
+
+
+def table_keys(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key for each window and table; windows are padded with 0 to the longest and differ in size."""
+    known, which = np.unique(sizes, return_inverse=True)
+    rows = np.arange(len(windows))[:, None]
     keys = []
-    for walk in range(walks):
-        out = _walk(windows, steps, walk + 1)
-        chosen = np.random.Generator(np.random.PCG64([size, walk])).integers(0, steps, (tables // walks, SAMPLED))
-        for j, places in enumerate(chosen):
-            key = np.full(len(windows), walk * 1000 + j + 1, _U)
-            for place in np.sort(places):
-                key = _words.mix(key * _U(0x9E3779B97F4A7C15) + out[:, place])
-            keys.append(key)
-    return np.stack(keys, axis=1)
+    for walk in range(WALKS):
+        out = _walk(windows, sizes, walk + 1)
+        places = np.stack([_sampled(int(size), walk) for size in known])[which]
+        key = sizes.astype(_U)[:, None] * _U(1000) + np.arange(walk * 100 + 1, walk * 100 + 1 + places.shape[1], dtype=_U)
+        for j in range(SAMPLED):
+            key = _words.mix(key * _U(0x9E3779B97F4A7C15) + out[places[:, :, j], rows])
+        keys.append(key)
+    return np.concatenate(keys, axis=1)
 
 
 def best_passage(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -142,53 +151,64 @@ def best_passage(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _in_document(words: np.ndarray, items: Items, exact: bool = False) -> list[tuple[int, int, int, int]]:
-    """(item, edits, first word, end) of the best matching passage of each item found in one document."""
-    proposed: dict[int, list[np.ndarray]] = {}
+def _proposals(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> np.ndarray:
+    """Distinct rows (item, document, first word) of the windows that pieces of items propose."""
+    found = []
     for length in items.lengths:
-        runs = _words.hash_runs(words, length, seed=8)
+        runs = _words.hash_runs(hashes, length, seed=8)
         low = np.searchsorted(items.keys, runs)
         places = np.flatnonzero(items.keys[np.minimum(low, len(items.keys) - 1)] == runs)
-        for place in places.tolist():
-            k = int(low[place])
-            while k < len(items.keys) and items.keys[k] == runs[place]:
-                item, offset, own = items.spots[k].tolist()
-                if own == length:
-                    edits = _edits(len(items.words[item]))
-                    shift = np.arange(-edits, edits + 1, STEP)
-                    proposed.setdefault(item, []).append(place - offset + shift)
-                k += 1
-    found = []
-    by_size: dict[int, list[int]] = {}
-    for item in proposed:
-        by_size.setdefault(len(items.words[item]), []).append(item)
-    for size, of in sorted(by_size.items()):
-        edits = _edits(size)
-        starts = np.unique(np.concatenate([x for i in of for x in proposed[i]]))
-        starts = np.unique(np.clip(starts, 0, max(0, len(words) - size)))
-        meetings: dict[int, list[int]] = {}
-        if exact:
-            for item in of:
-                meetings[item] = starts.tolist()
-        else:
-            for at in range(0, len(starts), 4096):
-                _meet(words, starts[at : at + 4096], size, items, meetings)
-        for item, near in meetings.items():
-            match = _verified(items.words[item], words, sorted(set(near)), edits)
-            if match:
-                found.append((item, *match))
-    return sorted(found)
-
-
-def _meet(words: np.ndarray, starts: np.ndarray, size: int, items: Items, meetings: dict[int, list[int]]) -> None:
-    padded = np.concatenate([words, np.zeros(size, _U)])
-    keys = table_keys(padded[starts[:, None] + np.arange(size)])
-    table, owner = items.tables[size]
-    flat = keys.ravel()
-    low, high = np.searchsorted(table, flat, "left"), np.searchsorted(table, flat, "right")
-    for spot in np.flatnonzero(high > low).tolist():
-        for item in set(owner[low[spot] : high[spot]].tolist()):
-            meetings.setdefault(item, []).append(int(starts[spot // keys.shape[1]]))
+        count = np.searchsorted(items.keys, runs[places], side="right") - low[places]
+        place = np.repeat(places, count)
+        spot = np.repeat(low[places], count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        item, offset, own = items.spots[spot].T
+        document = np.searchsorted(bounds, place, side="right") - 1
+        inside = (own == length) & (place + length <= bounds[document + 1])
+        found.append(np.stack([item, document, place - offset], axis=1)[inside])
+    pieces = np.unique(np.concatenate(found), axis=0)
+    item, document, first = pieces.T
+    shifts = 2 * (items.edits[item] // STEP) + 1
+    row = np.repeat(np.arange(len(pieces)), shifts)
+    shift = STEP * (np.arange(len(row)) - np.repeat(np.cumsum(shifts) - shifts, shifts)) - np.repeat(items.edits[item] // STEP * STEP, shifts)
+    item, document, first = item[row], document[row], first[row] + shift
+    first = np.clip(first, bounds[document], np.maximum(bounds[document], bounds[document + 1] - items.sizes[item]))
+    return np.unique(np.stack([item, document, first], axis=1), axis=0)
+
+
+def _meetings(hashes: np.ndarray, bounds: np.ndarray, proposed: np.ndarray, items: Items) -> np.ndarray:
+    """Distinct rows (document, item, first word) of windows and items that meet in some table."""
+    # a window is looked at once, whichever items of its size propose it
+    windows = np.unique(np.stack([items.sizes[proposed[:, 0]], proposed[:, 1], proposed[:, 2]], axis=1), axis=0)
+    longest = int(items.sizes.max())
+    padded = np.concatenate([hashes, np.zeros(longest, _U)])
+    met = []
+    for at in range(0, len(windows), _WINDOWS):
+        size, document, first = windows[at : at + _WINDOWS].T
+        place = first[:, None] + np.arange(longest)
+        words = np.where((np.arange(longest) < size[:, None]) & (place < bounds[document + 1][:, None]), padded[place], _U(0))
+        keys = table_keys(words, size).ravel()
+        low, high = np.searchsorted(items.table, keys, "left"), np.searchsorted(items.table, keys, "right")
+        hit = np.flatnonzero(high > low)
+        count = (high - low)[hit]
+        spot = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        window = np.repeat(hit // (len(keys) // len(size)), count)
+        met.append(np.unique(np.stack([document[window], items.owner[spot], first[window]], axis=1), axis=0))
+    return np.concatenate(met) if met else np.zeros((0, 3), np.int64)
+
+
+def _in_chunk(hashes: np.ndarray, bounds: np.ndarray, items: Items, exact: bool) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, item, edits, first word, end) of the best matching passage of each item in each document."""
+    proposed = _proposals(hashes, bounds, items)
+    met = proposed[:, [1, 0, 2]] if exact else _meetings(hashes, bounds, proposed, items)
+    met = met[np.lexsort((met[:, 2], met[:, 1], met[:, 0]))]
+    pairs, begins = np.unique(met[:, :2], axis=0, return_index=True)
+    ends = np.append(begins[1:], len(met))
+    for (document, item), begin, end in zip(pairs.tolist(), begins.tolist(), ends.tolist()):
+        base, stop = int(bounds[document]), int(bounds[document + 1])
+        near = np.unique(met[begin:end, 2]) - base
+        match = _verified(items.words[item], hashes[base:stop], near.tolist(), int(items.edits[item]))
+        if match:
+            yield document, item, *match
 
 
 def _verified(item: np.ndarray, words: np.ndarray, starts: list[int], edits: int) -> tuple[int, int, int] | None:
@@ -200,6 +220,10 @@ def _verified(item: np.ndarray, words: np.ndarray, starts: list[int], edits: int
             end += 1
         low = max(0, starts[at] - edits)
         high = starts[end - 1] + len(item) + 2 * edits
+        # each word of the item that isn't there at all is an edit
+        if int((~np.isin(item, words[low:high])).sum()) > edits:
+            at = end
+            continue
         cost, first, last = best_passage(item, words[low:high])
         if cost <= edits and (best is None or cost < best[0]):
             best = cost, low + first, low + last
@@ -214,17 +238,8 @@ def _in_batch(batch: pa.RecordBatch, items: Items, exact: bool) -> Iterator[tupl
         part = offsets[first : last + 1]
         words = _split(data[part[0] : part[-1]], part - part[0])
         hashes = _words.hash_words(words, lower=True)
-        # most documents hold no piece; those that do are found with one search over the chunk
-        hit = np.zeros(len(hashes), np.int64)
-        for length in items.lengths:
-            runs = _words.hash_runs(hashes, length, seed=8)
-            low = np.minimum(np.searchsorted(items.keys, runs), len(items.keys) - 1)
-            hit[: len(runs)] += items.keys[low] == runs
-        sums = np.concatenate([[0], np.cumsum(hit)])
-        for i in np.flatnonzero(sums[words.bounds[1:]] > sums[words.bounds[:-1]]).tolist():
-            own = hashes[words.bounds[i] : words.bounds[i + 1]]
-            for match in _in_document(own, items, exact):
-                yield first + i, *match
+        for document, *match in _in_chunk(hashes, words.bounds, items, exact):
+            yield first + document, *match
 
 
 def _matches(items: Items, exact: bool):
