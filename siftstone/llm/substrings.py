@@ -250,7 +250,7 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     proposed = texts.where("doc_id is not null").mapInArrow(_windows(bits, window), "hash long, check int, doc_id long, spot long")
     oldest = proposed.groupBy("hash", "check").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("hash", "check", "a")
-    covered = proposed.join(oldest, ["hash", "check"]).where("doc_id > a").select("doc_id", "spot").distinct()
+    covered = proposed.join(oldest, ["hash", "check"]).where("doc_id > a").select("doc_id", "spot")
     spots = covered.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
     cut = texts.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(
         _cut(window), "doc_id long, tag long, n_removed long, kept_sha256 string"
