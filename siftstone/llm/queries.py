@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import bpe, decontaminate, langid, lm, minhash, order, quality, secrets, substrings, topk
+from siftstone.llm import bpe, decontaminate, langid, lm, minhash, oracles, order, quality, secrets, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,8 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_minhash_near_dedup": oracles.MINHASH,
+    "op9_substring_dedup": oracles.SUBSTRINGS,
+    "op10_exact_top_k": oracles.TOP_K,
+}
