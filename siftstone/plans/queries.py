@@ -260,6 +260,58 @@ def documents_token_types(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
+# Statements with their raw tokens as text, and markup with its tokens.
+_TOKEN_TEXTS = [
+    ("SELECT x'1234';", ["E SELECT", "1 x'1234'", "; ;"]),
+    ("SELECT テスト;", ["E SELECT", "n テスト", "; ;"]),
+    ("@ @@ @version @@version", ["v @", "v @@", "v @version", "v @@version"]),
+    ("'it''s' 1e5", ["s 'it''s'", "1 1e5"]),
+    ("a <=> b -- c", ["n a", "o <=>", "n b", "c -- c"]),
+]
+_HTML_TEXTS = [
+    ("foo", ["DATA_TEXT,3,foo"]),
+    ("<a href='x'>t</a>", ["TAG_NAME_OPEN,1,a", "ATTR_NAME,4,href", "ATTR_VALUE,1,x", "TAG_NAME_CLOSE,1,>", "DATA_TEXT,1,t", "TAG_CLOSE,1,a"]),
+    ("<br/><!--c-->", ["TAG_NAME_OPEN,2,br", "TAG_NAME_SELFCLOSE,2,/>", "TAG_COMMENT,1,c"]),
+]
+
+
+def _expected(texts) -> str:
+    return _values([(t, " ~ ".join(tokens)) for t, tokens in texts], "payload, tokens")
+
+
+@query(f"SELECT payload, tokens FROM {_expected(_TOKEN_TEXTS)}")
+def sqli_golden_tokens(spark, sf_dir):
+    df = spark.createDataFrame([(t,) for t, _ in _TOKEN_TEXTS], "payload string")
+    return df.select("payload", F.array_join(F.transform(columns.sqli_tokens("payload", 8), sinks.token_text), " ~ ").alias("tokens"))
+
+
+@query(f"SELECT payload, tokens FROM {_expected(_HTML_TEXTS)}")
+def html5_golden_tokens(spark, sf_dir):
+    df = spark.createDataFrame([(t,) for t, _ in _HTML_TEXTS], "payload string")
+    line = lambda t: F.concat_ws(",", t["type"], t["len"].cast("string"), sinks.printable(t["val"]))
+    return df.select("payload", F.array_join(F.transform(columns.html5_tokens("payload"), line), " ~ ").alias("tokens"))
+
+
+@query("""SELECT event_id, flags, CASE WHEN flags & 2 <> 0 THEN '''' WHEN flags & 4 <> 0 THEN '"' ELSE '' END AS quote,
+  CASE WHEN flags = 0 THEN 9 ELSE flags END AS used FROM (SELECT event_id, CAST(event_id % 32 AS INTEGER) AS flags FROM events)""")
+def sqli_flags(spark, sf_dir):
+    flags = F.pmod("event_id", F.lit(32)).cast("int")
+    rows = _table(spark, sf_dir, "events").select("event_id", flags.alias("flags"))
+    return rows.withColumns({"quote": verdict.quote_context(F.col("flags")), "used": verdict.default_flags(F.col("flags")).cast("int")})
+
+
+@query(f"SELECT template, count(*) AS n, count(*) FILTER (regexp_matches(payload, '--[^\\s]')) AS hinted FROM {_EVENTS} GROUP BY template")
+def sqli_reparse_hints(spark, sf_dir):
+    checked = _events(spark, sf_dir).select("template", columns.sqli_check("payload", 9)["stats"].alias("stats"))
+    return checked.groupBy("template").agg(F.count("*").alias("n"), F.count_if(verdict.reparse(F.col("stats"))).alias("hinted"))
+
+
+@query(f"SELECT template, count(*) AS n, count(*) FILTER (contains(payload, '<script') OR contains(payload, 'href=')) AS bad FROM {_EVENTS} GROUP BY template")
+def xss_data_context(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("template", columns.xss_check("payload", 0).alias("hit"))
+    return rows.groupBy("template").agg(F.count("*").alias("n"), F.count_if("hit").alias("bad"))
+
+
 # ---------------------------------------------------------------- sources, sinks, reports
 
 
@@ -290,6 +342,29 @@ def input_info(spark, sf_dir):
     return sinks.input_info(_table(spark, sf_dir, "benchmark"), "text").select("item_id", "hex", "length")
 
 
+@query("""SELECT item_id, CAST(range AS INTEGER) AS pos, substr(h, CAST(2 * range + 1 AS BIGINT), 2) AS byte FROM
+  (SELECT item_id, hex(encode(text)) AS h FROM benchmark), range(2000) WHERE 2 * range < length(h)""")
+def byte_rows(spark, sf_dir):
+    return sinks.byte_rows(_table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "pos", "byte")
+
+
+@query("SELECT count(*) AS n FROM documents WHERE strlen(text) < 1000 AND NOT contains(text, chr(0))")
+def short_payloads(spark, sf_dir):
+    return payloads.short_and_clean(_table(spark, sf_dir, "documents"), "text").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, contains(payload, '''') OR contains(payload, '=') OR contains(payload, '<') AS quoted FROM {_EVENTS}")
+def payload_contains(spark, sf_dir):
+    text = F.col("payload").cast("string")
+    return _events(spark, sf_dir).select("event_id", (F.contains(text, F.lit("'")) | columns.may_be_xss(text)).alias("quoted"))
+
+
+@query("SELECT event_id, CAST(to_json({'event_id': event_id, 'type': event_type}) AS VARCHAR) AS json FROM events")
+def json_rows(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"))
+    return rows.select("event_id", F.to_json(F.struct("event_id", "type")).alias("json"))
+
+
 def _two_engines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The scanner and what the templates are known for."""
     events = _events(spark, sf_dir)
