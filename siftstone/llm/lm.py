@@ -20,7 +20,6 @@ quantised discounted probability:
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,29 +61,38 @@ def _loosen(data, kind) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    head = np.array([len(a) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    """Arrays end to end, each compressed for itself."""
+    parts = [_squeeze(a) for a in arrays]
+    return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
 
 
 def _unpack(data, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(data)
-    lengths = np.frombuffer(data, np.int64, len(kinds))
-    at, out = 8 * len(kinds), []
-    for kind, length in zip(kinds, lengths.tolist()):
-        out.append(np.frombuffer(data, kind, length, at))
-        at += out[-1].nbytes
+    lengths = np.frombuffer(data, np.uint32, len(kinds)).tolist()
+    at, out = 4 * len(kinds), []
+    for kind, length in zip(kinds, lengths):
+        out.append(_loosen(data[at : at + length], kind))
+        at += length
     return out
 
 
+def _palette(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, the most frequent first, and the place of each code among them."""
+    values, place, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint16)
+    rank[order] = np.arange(len(order))
+    return values[order], rank[place]
+
+
 # ---------------------------------------------------------------- batches
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about BATCH_TOKENS tokens: ids, folds, lengths, distinct word hashes, and each token's place among them."""
+def _batches(size: int):
+    """Batches of about ``size`` tokens: ids, folds, lengths, distinct word hashes, and each token's place among them."""
+    return lambda batches: _packed_batches(batches, size)
+
+
+def _packed_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     held, count = [], 0
 
     def packed() -> pa.RecordBatch:
@@ -98,7 +106,6 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = heavy_counts * 1000 >= tokens
         return pa.record_batch(
             [
-                pa.array([uuid.uuid4().hex]),
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 pa.ListArray.from_arrays(pa.array([0, len(folds)], pa.int32()), folds),
                 as_list(lengths),
@@ -108,7 +115,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 as_list(vocabulary[heavy_words[often]].view(np.int64)),
                 as_list(heavy_counts[often]),
             ],
-            names=["batch", "ids", "held", "lengths", "vocabulary", "places", "tokens", "often", "often_counts"],
+            names=["ids", "held", "lengths", "vocabulary", "places", "tokens", "often", "often_counts"],
         )
 
     for batch in batches:
@@ -116,7 +123,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = _words.hash_words(words, lower=True)
             held.append((batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), np.diff(words.bounds), hashes))
             count += len(hashes)
-            if count >= BATCH_TOKENS:
+            if count >= size:
                 yield packed()
                 held, count = [], 0
     if held:
@@ -216,7 +223,8 @@ class _Layout:
 
 #: Words, pairs of each, hashes of second words, triples of each pair, low and high bytes of hashes of third words, counts.
 _BLOCK = (np.uint64, np.int32, np.uint32, np.int32, np.uint8, np.uint8, np.uint32)
-_ANSWER = (np.int64, np.int64, np.uint16, np.uint16, np.uint16)
+#: Counts and followers of words; palettes and places of the codes of pairs, their backing off, and triples.
+_ANSWER = (np.int64, np.int64, *[np.uint16] * 6)
 
 
 def _prints(hashes: np.ndarray) -> np.ndarray:
@@ -253,10 +261,10 @@ def _send(shards: int, heavy: dict[int, int]):
                     third = _split_prints(_prints(vocabulary[layout.triple_w[a3:z3]]), wide)
                     out["shard"].append(shard)
                     out["block"].append(
-                        _pack(vocabulary[words], pairs, _prints(vocabulary[layout.pair_v[a:z]]), triples, *third, counts[a3:z3])
+                        _pack(np.diff(vocabulary[words], prepend=_U(0)), pairs, _prints(vocabulary[layout.pair_v[a:z]]), triples, *third, counts[a3:z3])
                     )
-                names = pa.array([batch.column("batch")[i].as_py()] * len(out["shard"]))
-                yield pa.record_batch([names, pa.array(out["shard"], pa.int32()), pa.array(out["block"], pa.binary())], names=["batch", "shard", "block"])
+                own = pa.array([batch.column("batch")[i].as_py()] * len(out["shard"]), pa.int64())
+                yield pa.record_batch([own, pa.array(out["shard"], pa.int32()), pa.array(out["block"], pa.binary())], names=["batch", "shard", "block"])
 
     return run
 
@@ -285,7 +293,7 @@ def _slim(shards: int, heavy: dict[int, int]):
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, rising, with the sums of their counts; keys whose sum is nothing are left out."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sums = np.add.reduceat(counts, first) if len(first) else counts
@@ -296,6 +304,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _read_block(data, heavy: dict[int, int]) -> list[np.ndarray]:
     """Words, pairs of each, hashes of second words, triples of each pair, hashes of third words, counts."""
     words, pairs, second, triples, low, high, counts = _unpack(data, *_BLOCK)
+    words = np.cumsum(words, dtype=np.uint64)
     dealt = np.isin(words, np.array(list(heavy), _U)) if heavy else np.zeros(len(words), bool)
     return [words, pairs, second, triples, _joined_prints(low, high, np.repeat(np.repeat(dealt, pairs), triples)), counts]
 
@@ -365,12 +374,15 @@ def _shard(shards: int, heavy: dict[int, int]):
         dealt = np.isin(names, np.array(list(heavy), _U)) if heavy else np.zeros(len(names), bool)
         types = int((~dealt).sum()) + sum(_home(h, shards) == shard for h in heavy)
         singles = int((counts[~dealt] == 1).sum())
-        rows = [_pack(*answer(trie, b)) for b in blocks]
+        rows = []
+        for block in blocks:
+            count, followers, *codes = answer(trie, block)
+            rows.append(_pack(count, followers, *(x for c in codes for x in _palette(c))))
         totals = [[int(counts.sum())], [types], [singles]]
         empty = [None] * len(rows)
         return pa.table(
             [
-                pa.array([*table["batch"].to_pylist(), None], pa.string()),
+                pa.array([*table["batch"].to_pylist(), None], pa.int64()),
                 pa.array([shard] * (len(rows) + 1), pa.int32()),
                 pa.array([*rows, None], pa.binary()),
                 *(pa.array(empty + t, pa.int64()) for t in totals),
@@ -404,7 +416,7 @@ def _assemble(shards: int, tokens: int, types: int, singles: int):
                 got = _unpack(found[shard], *_ANSWER)
                 count[words] += got[0]
                 followers[words] += got[1]
-                pair[a:z], back[a:z], triple[a3:z3] = got[2:]
+                pair[a:z], back[a:z], triple[a3:z3] = got[2][got[3]], got[4][got[5]], got[6][got[7]]
 
             # the tokens of a text are its trigrams' beginnings from the third on
             lengths = layout.lengths
@@ -448,39 +460,50 @@ _NOTHING = pa.table(
 )
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = HELD_OUT_FOLD) -> DataFrame:
+def scores(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = FOLDS,
+    fold: int = HELD_OUT_FOLD,
+    batch_tokens: int = BATCH_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
+) -> DataFrame:
     """One row per row of ``docs``, with the scores of the model learned from the rows outside fold ``fold``.
 
     A null text is empty, and has its end as the only token.  Repeated rows
     count as often as they come.  A row without an id is scored and not learned
     from.  With nothing to learn from every token is unknown, with probability 1.
+
+    A task holds one batch or one shard, and a batch sends one block to each
+    shard that it needs; executors with more memory should get larger batches
+    and shards, so that blocks stay large on a large corpus.
     """
     texts = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, fold).alias("held"), F.col(text_col).alias("text")
     )
     packed = materialise(
         texts.mapInArrow(
-            _batches,
-            "batch string, ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, places binary,"
-            " tokens long, often array<long>, often_counts array<long>",
-        ),
+            _batches(batch_tokens),
+            "ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, places binary, tokens long, often array<long>, often_counts array<long>",
+        ).withColumn("batch", F.monotonically_increasing_id()),
         "batches",
     )
     size = packed.agg(F.sum("tokens")).first()[0] or 0
-    shards = max(8, -(-size // SHARD_TOKENS))
-    share = SHARD_TOKENS // 2
+    shards = max(8, -(-size // shard_tokens))
+    share = shard_tokens // 2
     often = packed.select(F.explode(F.arrays_zip("often", "often_counts")).alias("x")).groupBy("x.often").agg(F.sum("x.often_counts").alias("n"))
     heavy = {r[0] % (1 << 64): min(shards, -(-r[1] // share)) for r in often.where(F.col("n") > share).collect()}
 
-    blocks = packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch string, shard int, block binary")
+    blocks = packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
     answers = materialise(
-        blocks.groupBy("shard").applyInArrow(_shard(shards, heavy), "batch string, shard int, answer binary, tokens long, types long, singles long"),
+        blocks.groupBy("shard").applyInArrow(_shard(shards, heavy), "batch long, shard int, answer binary, tokens long, types long, singles long"),
         "answers",
     )
     totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "singles"))).first()
     own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places").mapInArrow(
         _slim(shards, heavy),
-        "batch string, ids array<long>, held array<boolean>, lengths array<long>, places binary, deal binary, marks array<long>, heavy array<long>, parts array<long>",
+        "batch long, ids array<long>, held array<boolean>, lengths array<long>, places binary, deal binary, marks array<long>, heavy array<long>, parts array<long>",
     )
     replies = answers.where("answer is not null").select("batch", "shard", "answer")
     return own.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_assemble(shards, *totals), _RESULT)

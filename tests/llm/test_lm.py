@@ -75,9 +75,9 @@ def test_many_shards_batches_and_dealt_words(spark, monkeypatch):
 
     docs, rows = rows_of(spark)
     docs, rows = docs.where("doc_id < 150"), [r for r in rows if r[0] < 150]
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000)  # so that frequent words are dealt by the next one
     monkeypatch.setattr(words, "CHUNK_BYTES", 5000)
-    check(lm.scores(docs).collect(), brute(rows))
+    for shard_tokens in (1000, 40):  # so that frequent words are dealt by the next one; and more shards than 16 bits serve
+        check(lm.scores(docs, batch_tokens=3000, shard_tokens=shard_tokens).collect(), brute(rows))
 
 
 def test_edge_cases(spark):
