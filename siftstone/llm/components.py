@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm._joins import dealt_anew
 from siftstone.llm._scratch import materialise
 
 
@@ -18,14 +19,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest node next to it."""
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return dealt_anew(near, least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Tie a node and its smaller neighbours to the smallest of them."""
     near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m"))
-    tied = near.join(least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    tied = dealt_anew(near, least, "u").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
     return tied.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 

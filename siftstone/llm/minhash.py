@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm import _words
+from siftstone.llm._joins import dealt_anew
 from siftstone.llm._scratch import materialise
 from siftstone.llm.components import components
 
@@ -193,7 +194,7 @@ def _block_links(threshold: int):
 def _between_components(open_rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between components among the rows (band, node, label) of buckets that hold several."""
     first = open_rows.groupBy("band").agg(F.min("node").alias("a"))
-    clouds = components(open_rows.select("band", F.col("node").alias("b")).join(first, "band").select("a", "b"))
+    clouds = components(dealt_anew(open_rows.select("band", F.col("node").alias("b")), first, "band").select("a", "b"))
     nodes = open_rows.select("node", "label").distinct().join(clouds, "node", "left").select("node", "label", F.coalesce("root", "node").alias("cloud"))
     counts = nodes.groupBy("cloud", "label").agg(F.count("*").alias("n"))
     each = counts.groupBy("cloud").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
@@ -242,7 +243,7 @@ def near_duplicates(
     mixed = F.col("node").bitwiseXOR(F.col("band"))
     end = lambda name: F.col(name).bitwiseXOR(F.col("band")).alias(name)
     buckets = in_band.groupBy("band").agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low < high")
-    shared = materialise(in_band.join(buckets.select("band", end("low"), end("high")), "band"), "buckets")
+    shared = materialise(dealt_anew(in_band, buckets.select("band", end("low"), end("high")), "band"), "buckets")
 
     wanted = shared.select("node").distinct()
     sets = materialise(
@@ -264,7 +265,7 @@ def near_duplicates(
 
     labelled = shared.join(roots, "node", "left").select("band", "node", "n", "low", "high", F.coalesce("root", "node").alias("label"))
     apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    open_rows = materialise(labelled.join(apart, "band").where("node <> low and node <> high").select("band", "node", "label"), "open")
+    open_rows = materialise(dealt_anew(labelled, apart, "band").where("node <> low and node <> high").select("band", "node", "label"), "open")
     late = materialise(_between_components(open_rows, sets, threshold), "late_links")
     if not late.isEmpty():
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late))
