@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm._joins import dealt_anew
 from siftstone.llm._scratch import materialise
 
 KINDS = ("assign", "access", "hex", "live", "example")
@@ -136,7 +137,7 @@ def scan(
         "candidates",
     )
     with_some = found.where(F.size("candidates") > 0)
-    each = with_some.select("row", F.inline("candidates")).join(ownership(with_some, example_owners), "digest")
+    each = dealt_anew(with_some.select("row", F.inline("candidates")), ownership(with_some, example_owners), "digest")
     judged = each.withColumn(
         "rank", F.when(F.col("example"), F.lit(4)).when((F.col("n_owners") == 1) & F.col("random"), F.lit(3))
     ).where("rank is not null")
