@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import _words
+from siftstone.llm._joins import dealt_anew
 from siftstone.llm._scratch import materialise
 
 WINDOW = 50
@@ -81,9 +82,9 @@ def _profile(window: int):
                     out["n_words"].append(z - a)
                     out["tag"].append(tag)
                     out["sequence"].append(digest)
-                    out["all_sha256"].append(sha256(b" ".join([raw[s:e] for s, e in zip(starts[a:z], ends[a:z])])).hexdigest())
+                    out["all_sha256"].append(sha256(b" ".join([raw[s:e] for s, e in zip(starts[a:z], ends[a:z])])).digest())
                     out["fingerprints"].append(np.unique(_representatives(hashes[a:z], window)).view(np.int64))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.record_batch(
                     [batch.column(0).slice(first, last - first), *(pa.array(v, t) for v, t in zip(out.values(), kinds))],
                     names=["doc_id", *out],
@@ -238,29 +239,30 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialise(
         texts.mapInArrow(
-            _profile(window), "doc_id long, n_words long, tag long, sequence binary, all_sha256 string, fingerprints array<long>"
+            _profile(window), "doc_id long, n_words long, tag long, sequence binary, all_sha256 binary, fingerprints array<long>"
         ),
         "profiles",
     )
     windowed = profiles.where(f"n_words >= {window} and doc_id is not null")
     firsts = windowed.groupBy("sequence").agg(F.min("doc_id").alias("least"))
-    placed = materialise(windowed.join(firsts, "sequence").withColumn("copy", F.col("doc_id") > F.col("least")).drop("sequence", "least"), "placed")
+    placed = materialise(dealt_anew(windowed, firsts, "sequence").withColumn("copy", F.col("doc_id") > F.col("least")).drop("sequence", "least"), "placed")
     index = _index(placed.where("not copy"), batches)
     bits = spark.sparkContext.broadcast(index.filter_bits(spark))
 
     proposed = texts.where("doc_id is not null").mapInArrow(_windows(bits, window), "hash long, check int, doc_id long, spot long")
     oldest = proposed.groupBy("hash", "check").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("hash", "check", "a")
-    covered = proposed.join(oldest, ["hash", "check"]).where("doc_id > a").select("doc_id", "spot")
+    covered = dealt_anew(proposed, oldest.withColumnRenamed("check", "other_check"), "hash").where("check = other_check and doc_id > a").select("doc_id", "spot")
     spots = covered.groupBy("doc_id").agg(F.collect_list("spot").alias("spots"))
     cut = texts.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(
         _cut(window), "doc_id long, tag long, n_removed long, kept_sha256 string"
     ).distinct()
 
+    plain = F.lower(F.hex("all_sha256"))
     of_others = placed.where("not copy").join(cut, ["doc_id", "tag"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256")
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", plain).alias("kept_sha256")
     )
     copies = placed.where("copy").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA256).alias("kept_sha256"))
     short = profiles.where(f"n_words < {window} or doc_id is null").select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("all_sha256").alias("kept_sha256")
+        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), plain.alias("kept_sha256")
     )
     return of_others.unionByName(copies).unionByName(short)
