@@ -21,6 +21,7 @@ quantised discounted probability:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,18 +46,22 @@ _U = np.uint64
 # ---------------------------------------------------------------- packing
 
 
-def _squeeze(array: np.ndarray) -> bytes:
-    """Compressed bytes of an array, all first bytes before all second ones."""
+@lru_cache(maxsize=1)
+def _zstd():
+    """The worker's compressor and decompressor; making one costs more than a small array."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def _squeeze(array: np.ndarray) -> bytes:
+    """Compressed bytes of an array, all first bytes before all second ones."""
     planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _loosen(data, kind) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_zstd()[1].decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
@@ -350,7 +355,7 @@ def _looked_up(values: np.ndarray, ranks: np.ndarray, default) -> np.ndarray:
 
 
 def answer(trie: Trie, block: list[np.ndarray]) -> list[np.ndarray]:
-    """Count and followers of the block's words, codes of its pairs, and of its triples."""
+    """Count and followers of a block's words, codes of its pairs and of their backing off, and of its triples."""
     words, pairs, pair_prints, triples, triple_prints, _ = block
     word_ranks = trie.word(words)
     pair_ranks = trie.child(2, np.repeat(word_ranks, pairs), pair_prints)
@@ -374,9 +379,11 @@ def _shard(shards: int, heavy: dict[int, int]):
         dealt = np.isin(names, np.array(list(heavy), _U)) if heavy else np.zeros(len(names), bool)
         types = int((~dealt).sum()) + sum(_home(h, shards) == shard for h in heavy)
         singles = int((counts[~dealt] == 1).sum())
+        # one search for all blocks; words, pairs and triples are then cut where their blocks end
+        found = answer(trie, [np.concatenate(x) for x in zip(*blocks)])
+        ends = [np.cumsum([len(b[i]) for b in blocks])[:-1] for i in (0, 0, 2, 2, 4)]
         rows = []
-        for block in blocks:
-            count, followers, *codes = answer(trie, block)
+        for count, followers, *codes in zip(*(np.split(x, end) for x, end in zip(found, ends))):
             rows.append(_pack(count, followers, *(x for c in codes for x in _palette(c))))
         totals = [[int(counts.sum())], [types], [singles]]
         empty = [None] * len(rows)
