@@ -342,8 +342,8 @@ def input_info(spark, sf_dir):
     return sinks.input_info(_table(spark, sf_dir, "benchmark"), "text").select("item_id", "hex", "length")
 
 
-@query("""SELECT item_id, CAST(range AS INTEGER) AS pos, substr(h, CAST(2 * range + 1 AS BIGINT), 2) AS byte FROM
-  (SELECT item_id, hex(encode(text)) AS h FROM benchmark), range(2000) WHERE 2 * range < length(h)""")
+@query("""SELECT item_id, CAST(i AS INTEGER) AS pos, substr(h, 2 * i + 1, 2) AS byte FROM
+  (SELECT item_id, h, unnest(range(length(h) // 2)) AS i FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark))""")
 def byte_rows(spark, sf_dir):
     return sinks.byte_rows(_table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "pos", "byte")
 
