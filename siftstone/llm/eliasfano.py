@@ -17,6 +17,26 @@ _U = np.uint64
 _ONES = _U(0xFFFFFFFFFFFFFFFF)
 
 
+#: Place of the one with so many ones below it, for each byte; 8 where there are fewer.
+_IN_BYTE = np.full((256, 8), 8, np.uint8)
+for _byte in range(256):
+    _set = [i for i in range(8) if _byte >> i & 1]
+    _IN_BYTE[_byte, : len(_set)] = _set
+
+
+def _select_one(bits: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place in each word of the one with ``rank`` ones below it."""
+    left = rank.astype(np.uint8)
+    position = np.zeros(len(bits), np.uint8)
+    for half in (32, 16, 8):
+        count = np.bitwise_count(bits & _U((1 << half) - 1))
+        over = left >= count
+        left = left - count * over
+        position += over.astype(np.uint8) * np.uint8(half)
+        bits = bits >> (over.astype(_U) * _U(half))
+    return position.astype(np.int64) + _IN_BYTE[(bits & _U(255)).astype(np.intp), np.minimum(left, 7)]
+
+
 class EliasFano:
     """Arrays of one sequence; ``parts`` are what is stored."""
 
@@ -59,29 +79,12 @@ class EliasFano:
         """Position of the zero with ``rank`` zeros before it."""
         word = np.searchsorted(self.zeros, rank, side="right") - 1
         word = np.minimum(word, len(self.high) - 1)
-        left = (rank - self.zeros[word]).astype(np.int64)
-        bits = ~self.high[word]
-        position = np.zeros(len(rank), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & _U((1 << half) - 1)).astype(np.int64)
-            over = left >= count
-            left -= np.where(over, count, 0)
-            position += np.where(over, half, 0)
-            bits = np.where(over, bits >> _U(half), bits)
-        return word * 64 + position
+        return word * 64 + _select_one(~self.high[word], rank - self.zeros[word])
 
     def access(self, index: np.ndarray) -> np.ndarray:
         """Values at ``index``: the bucket of the indexth one, by a search over buckets, then its low bits."""
         word = np.searchsorted(self._ones(), index, side="right") - 1
-        left = index - self._ones()[word]
-        bits = self.high[word]
-        position = np.zeros(len(index), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & _U((1 << half) - 1)).astype(np.int64)
-            over = left >= count
-            left = left - np.where(over, count, 0)
-            position += np.where(over, half, 0)
-            bits = np.where(over, bits >> _U(half), bits)
+        position = _select_one(self.high[word], index - self._ones()[word])
         top = (word * 64 + position - index).astype(_U)
         return (top << _U(self.low_bits) if self.low_bits < 64 else _U(0) * top) | self._low(index)
 
