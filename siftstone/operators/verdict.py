@@ -134,8 +134,12 @@ def scan_once(payloads: DataFrame, look, payload: str = "payload") -> DataFrame:
     Worth it where payloads repeat: distinct payloads are shuffled and joined
     back.  A null payload gives null.
     """
+    spark = payloads.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct = payloads.select(F.col(payload).cast("binary").alias("__payload")).where("__payload is not null").distinct()
-    found = distinct.select(F.sha2("__payload", 256).alias("__key"), look(F.col("__payload")).alias("result"))
+    # dealt by the key of the join, and to as many tasks as there are: payloads are few bytes and much work
+    dealt = distinct.select(F.sha2("__payload", 256).alias("__key"), "__payload").repartition(tasks, "__key")
+    found = dealt.select("__key", look(F.col("__payload")).alias("result"))
     keyed = payloads.withColumn("__key", F.sha2(F.col(payload).cast("binary"), 256))
     return keyed.join(found, "__key", "left").drop("__key")
 

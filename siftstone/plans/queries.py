@@ -51,7 +51,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (t, _, _) in enumerate(TEMPLATES):
         text = F.when(number == i, F.lit(t)).otherwise(text)
     filled = F.replace(text, F.lit("{}"), F.col("event_id").cast("string"))
-    return _table(spark, sf_dir, "events").select("event_id", "ts", "event_type", number.alias("template"), filled.cast("binary").alias("payload"))
+    events = payloads.spread(_table(spark, sf_dir, "events").select("event_id", "ts", "event_type"))
+    return events.select("event_id", "ts", "event_type", number.alias("template"), filled.cast("binary").alias("payload"))
 
 
 _EVENTS = f"""(SELECT event_id, ts, event_type, CAST(event_id % {len(TEMPLATES)} AS INTEGER) AS template,
@@ -78,11 +79,11 @@ def query(sql: str | None = None):
 
 @query("SELECT page_id, regexp_matches(html, '(?i)<!doctype') AS is_injection FROM pages")
 def xss_pages_verdict(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", columns.detect_xss("html")["is_injection"].alias("is_injection"))
+    return payloads.spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", columns.detect_xss("html")["is_injection"].alias("is_injection"))
 
 
 def _html_names(spark, sf_dir, kind: str) -> DataFrame:
-    tokens = _table(spark, sf_dir, "pages").select(F.explode(columns.html5_tokens("html")).alias("t"))
+    tokens = payloads.spread(_table(spark, sf_dir, "pages").select("html")).select(F.explode(columns.html5_tokens("html")).alias("t"))
     name = F.lower(F.col("t.val").cast("string")).alias("name")
     return tokens.where(F.col("t.type") == kind).select(name).groupBy("name").agg(F.count("*").alias("n"))
 
@@ -251,13 +252,14 @@ def pages_url_sqli(spark, sf_dir):
 
 @query()
 def documents_sqli(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", columns.detect_sqli("text").alias("r")).select("doc_id", "r.is_injection", "r.fingerprint")
+    docs = payloads.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", columns.detect_sqli("text").alias("r")).select("doc_id", "r.is_injection", "r.fingerprint")
 
 
 @query()
 def documents_token_types(spark, sf_dir):
     types = F.transform(columns.sqli_tokens("text"), lambda t: t["type"])
-    return _table(spark, sf_dir, "documents").select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return payloads.spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 # Statements with their raw tokens as text, and markup with its tokens.

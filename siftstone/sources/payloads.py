@@ -100,3 +100,13 @@ def short_and_clean(payloads: DataFrame, column: str = "payload", below: int = 1
     """Payloads without NUL and under ``below`` bytes."""
     data = F.col(column).cast("binary")
     return payloads.where((F.octet_length(data) < below) & ~F.contains(data, F.lit(b"\0")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores if they come in fewer partitions than there are cores.
+
+    Scanning a payload costs far more than moving it, and a small file is one
+    partition; a large input has many and isn't shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
