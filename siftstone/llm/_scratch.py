@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffle files that nothing needs any more.
+
+    Spark drops them when the driver's collector finds their plans unreachable,
+    which can be long after a large table was written; this asks for it now.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import _words
 from siftstone.llm._sample import held_out
-from siftstone.llm._scratch import materialise
+from siftstone.llm._scratch import materialise, release_shuffles
 from siftstone.llm.eliasfano import Trie, dequantise, quantise
 
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -502,11 +502,13 @@ def scores(
     often = packed.select(F.explode(F.arrays_zip("often", "often_counts")).alias("x")).groupBy("x.often").agg(F.sum("x.often_counts").alias("n"))
     heavy = {r[0] % (1 << 64): min(shards, -(-r[1] // share)) for r in often.where(F.col("n") > share).collect()}
 
-    blocks = packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
+    sent = packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
     answers = materialise(
-        blocks.groupBy("shard").applyInArrow(_shard(shards, heavy), "batch long, shard int, answer binary, tokens long, types long, singles long"),
+        sent.groupBy("shard").applyInArrow(_shard(shards, heavy), "batch long, shard int, answer binary, tokens long, types long, singles long"),
         "answers",
     )
+    del sent
+    release_shuffles(docs.sparkSession)  # of the blocks, the largest thing that is sent
     totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "singles"))).first()
     own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places").mapInArrow(
         _slim(shards, heavy),
