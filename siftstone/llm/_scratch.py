@@ -41,6 +41,8 @@ def release_shuffles(spark: SparkSession) -> None:
 
     Spark drops them when the driver's collector finds their plans unreachable,
     which can be long after a large table was written; this asks for it now.
+    Listeners hold the plan of a query that has just ended, so they come first.
     """
     gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()

@@ -508,8 +508,8 @@ def scores(
         "answers",
     )
     del sent
-    release_shuffles(docs.sparkSession)  # of the blocks, the largest thing that is sent
     totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "singles"))).first()
+    release_shuffles(docs.sparkSession)  # of the blocks, the largest thing that is sent; by now no job holds them
     own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places").mapInArrow(
         _slim(shards, heavy),
         "batch long, ids array<long>, held array<boolean>, lengths array<long>, places binary, deal binary, marks array<long>, heavy array<long>, parts array<long>",
