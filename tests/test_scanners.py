@@ -175,3 +175,10 @@ def test_a_dictionary_is_a_parameter(tmp_path):
     assert lexicon.blacklisted("s&sos") and not lexicon.blacklisted("1UEnk")
     assert htmlscan.first_hit(b"<blink>", 0, lexicon) and not htmlscan.first_hit(b"<script>", 0, lexicon)
     assert htmlscan.first_hit(b"<a src='gopher:x'>", 0, lexicon)
+
+
+def test_all_listed_events():
+    assert len(load().events) == 298
+    for name in (b"unhandledrejection", b"slotchange", b"textinput", b"timeout", b"domactivate", b"compositionstart"):
+        assert htmlscan.detect(b"<x on" + name + b"=alert(1)>"), name
+    assert not htmlscan.detect(b"<x onbeforedeactivates=alert(1)>")
