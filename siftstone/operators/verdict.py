@@ -154,14 +154,9 @@ def relational_sqli(payloads: DataFrame, key: str, payload: str = "payload", dic
     passes = payloads.select(key, F.col(payload).cast("binary").alias("payload"))
     tried = passes.select(key, "payload", F.posexplode(columns.sqli_passes("payload", 0, dictionary)).alias("step", "tried"))
     folded = tried.select(key, "payload", "step", "tried.*").withColumn("tokens", columns.sqli_fold("payload", F.col("flags"), dictionary))
-    if lexicon.fingerprints is None:
-        known = folded.withColumn("listed", F.col("is_injection"))
-    else:
-        rows = [(f,) for f in sorted(lexicon.fingerprints)]
-        listed = payloads.sparkSession.createDataFrame(rows, "__listed string")
-        known = folded.join(bounded(listed, len(rows)), F.upper("fingerprint") == F.col("__listed"), "left").withColumn(
-            "listed", F.col("__listed").isNotNull()
-        )
+    rows = [(f,) for f in sorted(lexicon.fingerprints)]
+    listed = payloads.sparkSession.createDataFrame(rows, "__listed string")
+    known = folded.join(bounded(listed, len(rows)), F.upper("fingerprint") == F.col("__listed"), "left").withColumn("listed", F.col("__listed").isNotNull())
     judged = known.withColumn("hit", F.col("listed") & whitelist(F.col("fingerprint"), F.col("tokens"), F.col("stats")["tokens"], F.col("payload")))
     last = judged.groupBy(key).agg(F.max("hit").alias("is_injection"), F.max_by(F.struct("fingerprint", "flags"), "step").alias("last"))
     return payloads.select(key).join(last, key, "left").select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import columns
+from siftstone.functions.lexicon import load
 from siftstone.operators import compare, report, verdict
 from siftstone.plans import golden
 from siftstone.sources import payloads, sinks
@@ -181,8 +182,6 @@ def sqli_char_class(spark, sf_dir):
 
 
 def _keyword_rows() -> list[tuple[str, str]]:
-    from siftstone.functions.lexicon import load
-
     return [r for r in load().rows() if r[0].isalpha()]
 
 
@@ -197,7 +196,7 @@ def sqli_word_types(spark, sf_dir):
     return typed.groupBy("type").agg(F.sum("n").alias("n"), F.count("*").alias("words"))
 
 
-#: Fingerprints dealt to events, with those that count as listed.
+#: Fingerprints dealt to events, with those of them that the dictionary lists.
 _PRINTS = ["s&sos", "1UEnk", "Eokn", "nk", "1c", "s&1", "nc", "1&1", "sos", "", "1U", "nkn"]
 _LISTED = ["s&sos", "1UEnk", "1c", "s&1", "nc", "1&1", "sos", "1U", "nkn"]
 
@@ -208,18 +207,23 @@ def _prints(spark, sf_dir) -> DataFrame:
     )
 
 
+def _listed(spark) -> DataFrame:
+    """All fingerprints of the dictionary."""
+    return spark.createDataFrame([(p,) for p in sorted(load().fingerprints)], "fingerprint string")
+
+
 _PRINTS_SQL = f"(SELECT event_id, CASE event_id % {len(_PRINTS)} {' '.join(f'WHEN {i} THEN {_sql(p)}' for i, p in enumerate(_PRINTS))} END AS fingerprint FROM events)"
 _LISTED_SQL = f"({', '.join(_sql('0' + p.upper()) for p in _LISTED)})"
 
 
 @query(f"SELECT event_id, fingerprint FROM {_PRINTS_SQL} WHERE '0' || upper(fingerprint) IN {_LISTED_SQL}")
 def sqli_blacklist_semi(spark, sf_dir):
-    return verdict.blacklisted(_prints(spark, sf_dir), spark.createDataFrame([(p,) for p in _LISTED], "fingerprint string"))
+    return verdict.blacklisted(_prints(spark, sf_dir), _listed(spark))
 
 
 @query(f"SELECT event_id, fingerprint FROM {_PRINTS_SQL} WHERE '0' || upper(fingerprint) NOT IN {_LISTED_SQL}")
 def sqli_blacklist_anti(spark, sf_dir):
-    return verdict.not_blacklisted(_prints(spark, sf_dir), spark.createDataFrame([(p,) for p in _LISTED], "fingerprint string"))
+    return verdict.not_blacklisted(_prints(spark, sf_dir), _listed(spark))
 
 
 @query(f"""SELECT event_id, CASE WHEN length(fingerprint) = 2 AND fingerprint[2] = 'U' THEN pulled <> 2 WHEN fingerprint = 'nc' THEN false

@@ -182,3 +182,22 @@ def test_all_listed_events():
     for name in (b"unhandledrejection", b"slotchange", b"textinput", b"timeout", b"domactivate", b"compositionstart"):
         assert htmlscan.detect(b"<x on" + name + b"=alert(1)>"), name
     assert not htmlscan.detect(b"<x onbeforedeactivates=alert(1)>")
+
+
+def test_the_listed_dictionary():
+    lexicon = load()
+    assert len(lexicon.fingerprints) == 8367 and len(lexicon.words) == 985 + 2
+    kinds = {"TRUNCATE": "f", "ORD": "f", "ELT": "f", "MAKE_SET": "f", "ANY": "f", "ALTER TABLE": "k", "HANDLER": "T", "PROCEDURE ANALYSE": "f", "_UTF8": "t"}
+    assert {w: lexicon.word(w.lower().encode()) for w in kinds} == kinds
+    assert all(map(lexicon.blacklisted, ("1nU(E", "1ok(v", "soN1U", "vttnt", "E1s;", "1vs;"))) and not lexicon.blacklisted("")
+
+
+@pytest.mark.parametrize(
+    "payload, hit, fingerprint",
+    [
+        ("1 a union (select", True, "1nU(E"), ("1 = any(@a", True, "1of(v"), ("'a'=b 1 union select", True, "son1U"), ("select 1 'a';", True, "E1s;"),
+        ("-1 procedure analyse(1)", True, "1f(1)"), ("1;truncate table x", False, "1;fnn"),
+    ],
+)
+def test_verdicts_of_listed_fingerprints(payload, hit, fingerprint):
+    assert sqlscan.detect(payload.encode())[:2] == (hit, fingerprint)
