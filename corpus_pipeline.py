@@ -14,7 +14,7 @@ from siftstone.llm._scratch import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, which have no language, go."""
+    """Texts without a letter, which have no language, go; a text without a label gets the language found."""
     return langid.accepted(docs)
 
 

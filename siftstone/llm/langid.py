@@ -165,23 +165,28 @@ def _predict(model: Model):
                     score = np.where(letters, top[:, -1], 0.0)
                     unsure = ~letters | (gap < AMBIGUOUS_GAP)
                 columns = [c.slice(first, rows) for i, c in enumerate(batch.columns) if i != at]
-                columns += [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
+                columns += [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_()), pa.array(letters, pa.bool_())]
                 yield pa.record_batch(
-                    columns, names=[n for n in batch.schema.names if n != "__text"] + ["lang_pred", "score", "ambiguous"]
+                    columns, names=[n for n in batch.schema.names if n != "__text"] + ["lang_pred", "score", "ambiguous", "__letters"]
                 )
 
     return run
 
 
+def _marked(docs: DataFrame, model: Model, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """What ``predict`` gives, and whether the text has a letter."""
+    kept = docs.select(*keep, F.col(text_col).alias("__text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
+    return kept.mapInArrow(_predict(model), ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean", "__letters boolean"]))
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Columns ``keep``, lang_pred, score (0 to 1) and ambiguous of every row.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
     text if there was nothing to learn from.  Only the text is looked at.
     """
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
-    return kept.mapInArrow(_predict(model), ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
+    return _marked(docs, model, keep, text_col).drop("__letters")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -191,13 +196,18 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts that have no letter, and so no language.
+    """``docs`` without the texts that have no letter, and so no language; a null lang is filled in.
 
-    Clean text stays even if its language is ambiguous: the flag says that two
-    learned languages are near, not that there is none.
+    Whether a text stays doesn't depend on what was learned, nor on ambiguity:
+    the flag says that two learned languages are near, not that there is none.
+    A text without a label gets the language that the decoder finds, unless
+    that is ambiguous or fewer than two languages were learned.
     """
     names = docs.columns
     named = docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
-    keep = tuple(named.columns)
-    marked = predict(named, train(docs), keep=keep, text_col=f"c{names.index('text')}")
-    return marked.where(F.col("lang_pred") != UNDETERMINED).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    model = train(docs)
+    marked = _marked(named, model, tuple(named.columns), f"c{names.index('text')}").where("__letters")
+    if len(model.languages) > 1:
+        lang = f"c{names.index('lang')}"
+        marked = marked.withColumn(lang, F.coalesce(F.col(lang), F.when(~F.col("ambiguous"), F.col("lang_pred"))))
+    return marked.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

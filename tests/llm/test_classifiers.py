@@ -33,6 +33,19 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_texts_stay_whatever_was_learned(spark):
+    english, german = "the house and the river and the king of the north ", "der hund und die katze sind nicht in dem haus "
+    rows = [(i, (english if i % 2 else german) * 3, None) for i in range(20)] + [(20, "123", None)]
+    unlabelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in langid.accepted(unlabelled).collect()} == set(rows[:20])
+    learned = [(100 + i, (english if i % 2 else german) * 3, "en" if i % 2 else "de") for i in range(40)]
+    wrong = [(200, german * 3, "en")]
+    both = langid.accepted(spark.createDataFrame(rows + learned + wrong, "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang for r in both.collect()} == {i: "en" if i % 2 else "de" for i in [*range(20), *range(100, 140)]} | {200: "en"}
+    one = langid.accepted(spark.createDataFrame(rows + learned[1::2], "doc_id long, text string, lang string"))
+    assert {r.lang for r in one.where("doc_id < 20").collect()} == {None}
+
+
 def test_codewords_differ_in_half_of_their_bits():
     for count in (2, 4, 7, 12, 40):
         code = langid.codewords(count)
