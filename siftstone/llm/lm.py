@@ -107,8 +107,7 @@ def _packed_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
         vocabulary, places = np.unique(np.concatenate([_MARKS, *(h[3] for h in held)]), return_inverse=True)
         tokens = len(places) - len(_MARKS) + len(lengths)
         as_list = lambda x: pa.array([x.to_pylist() if isinstance(x, pa.Array) else x])
-        heavy_words, heavy_counts = np.unique(places[len(_MARKS) :], return_counts=True)
-        often = heavy_counts * 1000 >= tokens
+        counts = np.bincount(places[len(_MARKS) :], minlength=len(vocabulary))
         return pa.record_batch(
             [
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
@@ -117,10 +116,9 @@ def _packed_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
                 pa.array([_squeeze(np.diff(vocabulary, prepend=_U(0)))], pa.binary()),
                 pa.array([_squeeze(places[len(_MARKS) :].astype(np.int32))], pa.binary()),
                 pa.array([tokens], pa.int64()),
-                as_list(vocabulary[heavy_words[often]].view(np.int64)),
-                as_list(heavy_counts[often]),
+                pa.array([_squeeze(counts.astype(np.int32))], pa.binary()),
             ],
-            names=["ids", "held", "lengths", "vocabulary", "places", "tokens", "often", "often_counts"],
+            names=["ids", "held", "lengths", "vocabulary", "places", "tokens", "counts"],
         )
 
     for batch in batches:
@@ -139,6 +137,35 @@ def _vocabulary(data) -> np.ndarray:
     return np.cumsum(_loosen(data, np.uint64), dtype=np.uint64)
 
 
+_PACKED = "ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, places binary, tokens long, counts binary"
+
+
+def _heavy(packed: DataFrame, batches: int, share: int) -> dict[int, int]:
+    """Words with more than ``share`` tokens in all batches, with their numbers, which don't depend on how rows fall into batches.
+
+    Such a word has more than ``share / batches`` in one batch at least, so the
+    words that do are added up exactly.
+    """
+    least = share // max(batches, 1) + 1
+
+    def counted(chosen):
+        def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in tables:
+                for words, counts in zip(table.column("vocabulary"), table.column("counts")):
+                    words, counts = _vocabulary(words.as_buffer()), _loosen(counts.as_buffer(), np.int32).astype(np.int64)
+                    at = np.flatnonzero(chosen(words, counts))
+                    yield pa.record_batch([pa.array(words[at].view(np.int64)), pa.array(counts[at])], names=["word", "n"])
+
+        return packed.select("vocabulary", "counts").mapInArrow(run, "word long, n long")
+
+    likely = [r[0] for r in counted(lambda words, counts: counts >= least).select("word").distinct().collect()]
+    if not likely:
+        return {}
+    known = np.array(likely, np.int64).view(_U)
+    sums = counted(lambda words, counts: (counts > 0) & np.isin(words, known)).groupBy("word").agg(F.sum("n").alias("n"))
+    return {r[0] % (1 << 64): r[1] for r in sums.where(F.col("n") > share).collect()}
+
+
 class _Deal:
     """How a batch's words are dealt to shards: what is left of the words where only that is needed.
 
@@ -490,17 +517,13 @@ def scores(
         F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, fold).alias("held"), F.col(text_col).alias("text")
     )
     packed = materialise(
-        texts.mapInArrow(
-            _batches(batch_tokens),
-            "ids array<long>, held array<boolean>, lengths array<long>, vocabulary binary, places binary, tokens long, often array<long>, often_counts array<long>",
-        ).withColumn("batch", F.monotonically_increasing_id()),
+        texts.mapInArrow(_batches(batch_tokens), _PACKED).withColumn("batch", F.monotonically_increasing_id()),
         "batches",
     )
-    size = packed.agg(F.sum("tokens")).first()[0] or 0
+    size, batches = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     shards = max(8, -(-size // shard_tokens))
     share = shard_tokens // 2
-    often = packed.select(F.explode(F.arrays_zip("often", "often_counts")).alias("x")).groupBy("x.often").agg(F.sum("x.often_counts").alias("n"))
-    heavy = {r[0] % (1 << 64): min(shards, -(-r[1] // share)) for r in often.where(F.col("n") > share).collect()}
+    heavy = {word: min(shards, -(-n // share)) for word, n in _heavy(packed, batches, share).items()}
 
     sent = packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
     answers = materialise(

@@ -86,3 +86,19 @@ def test_edge_cases(spark):
     check(lm.scores(frame(rows)).collect(), brute(rows))
     assert lm.scores(frame([])).collect() == []
     check(lm.scores(frame([(None, "a b")])).collect(), brute([(None, "a b")]))
+
+
+def test_words_rare_in_each_batch_are_dealt(spark):
+    rows = [(i, " ".join(["rare", *(f"w{i}x{j}" for j in range(2999))])) for i in range(12)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "false AS held", "text").repartition(4).cache()
+    want = {int(lm._words.hash_words(next(lm._words.text_chunks(word_of("rare"), "text"))[2], lower=True)[0]): 12}
+    for size in (3000, 9000, 100_000):  # a third of a thousandth of a batch
+        packed = texts.mapInArrow(lm._batches(size), lm._PACKED).cache()
+        assert lm._heavy(packed, packed.count(), 10) == want
+    check(lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), batch_tokens=3000, shard_tokens=20).collect(), brute(rows))
+
+
+def word_of(word):
+    import pyarrow as pa
+
+    return pa.record_batch([pa.array([word])], names=["text"])
