@@ -1,4 +1,5 @@
 import json
+import os
 import shutil
 import subprocess
 import sys
@@ -221,11 +222,18 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert {r[0] for r in want - got} <= {r[0] for r in sorted(want)[-2:]}
 
 
-def test_the_library_stands_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")], ids=["folders", "folders and pipeline"])
+def test_the_library_stands_without_the_llm_folders(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, timeout=120)
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    code = (
+        "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 41 and not any(n.startswith('op') or n == 'pipeline' for n in q); "
+        "assert set(e.oracle_sql()) <= set(q); import siftstone; assert siftstone.__path__[0].startswith({!r})"
+    ).format(str(copy))
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=clean, check=True, timeout=120)
+    # and with another copy of everything later on the path
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=clean | {"PYTHONPATH": str(ROOT)}, check=True, timeout=120)
 
 
 def test_registry():
