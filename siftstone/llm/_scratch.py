@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FALLBACK = "/tmp/checkpoints"
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,27 +24,54 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+@contextmanager
+def shuffles_end_with_the_write(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of a query that ends in here at once, not when its driver collects garbage."""
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; the folder goes when the session's JVM ends, if nothing removes it before."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    system, jvm_path = _folder(spark, path)
+    system.deleteOnExit(jvm_path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all that is in it."""
+    system, jvm_path = _folder(spark, path)
+    system.delete(jvm_path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result no longer depends on earlier shuffles, so a lost executor costs
-    one task of a re-read.  The folder goes when the session's JVM ends.
+    one task of a re-read, and those shuffles' files are deleted.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    path = scratch_path(spark, name)
+    with shuffles_end_with_the_write(spark):
+        df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of shuffle files that nothing needs any more.
 
-    Spark drops them when the driver's collector finds their plans unreachable,
-    which can be long after a large table was written; this asks for it now.
-    Listeners hold the plan of a query that has just ended, so they come first.
-    """
-    gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    spark.sparkContext._jvm.System.gc()
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    remove(table.sparkSession, table.scratch_path)
