@@ -9,7 +9,6 @@ each element that has it and then a zero.  A directory of the zeros before each
 from __future__ import annotations
 
 import mmap
-import tempfile
 
 import numpy as np
 
@@ -155,38 +154,54 @@ def dequantise(codes: np.ndarray) -> np.ndarray:
     return _DECODED[codes]
 
 
+_KINDS = (np.dtype("<i8"), np.dtype("<u8"), np.dtype("<u2"))
+
+
 class Trie:
-    """Levels of words, pairs and triples in one memory-mapped file.
+    """Levels of words, pairs and triples in one mapping of memory.
 
     A child's identity is relative to its context: the rank of the parent above
     32 bits of the word's hash, so that a whole level rises and one search finds
     a word after a context.  Pointers, the first child of each node, rise too.
+
+    The mapping holds the numbers of arrays, a kind and a length for each, and
+    then the arrays themselves, each from a multiple of 8 bytes on.  Its bytes
+    are the stored form, and a trie made of them copies nothing.
     """
 
     LEVELS = 3
+    VALUES = ("count", "pair", "back_off", "triple")
+
+    def __init__(self, data):
+        """data: what ``build`` has made, as any buffer."""
+        self.data = data
+        shape = np.frombuffer(data, np.int64, 1 + 2 * int(np.frombuffer(data, np.int64, 1)[0]))[1:].reshape(-1, 2)
+        at, views = 8 * (1 + shape.size), []
+        for kind, count in shape.tolist():
+            views.append(np.frombuffer(data, _KINDS[kind], count, at))
+            at += -(-_KINDS[kind].itemsize * count // 8) * 8
+        found = [EliasFano.of(views[i : i + 4]) for i in range(0, 4 * (2 * self.LEVELS - 1), 4)]
+        self.words, self.children, self.pointers = found[0], found[1:3], found[3:]
+        self.values = dict(zip(self.VALUES, views[4 * len(found) :]))
 
-    def __init__(self, words: np.ndarray, children: list[np.ndarray], pointers: list[np.ndarray], values: dict[str, np.ndarray]):
+    @classmethod
+    def build(cls, words: np.ndarray, children: list[np.ndarray], pointers: list[np.ndarray], values: dict[str, np.ndarray]) -> Trie:
         """words: 64-bit hashes; children: keys of levels 2 and 3; pointers of levels 1 and 2; values: arrays to keep beside them."""
         sequences = [EliasFano.build(words, 64)]
         for parents, keys in zip((len(words), len(children[0])), children):
             sequences.append(EliasFano.build(keys, 32 + max(1, parents).bit_length()))
         for first in pointers:
             sequences.append(EliasFano.build(first, max(1, int(first[-1])).bit_length() + 1))
-        parts = [p for s in sequences for p in s.parts()]
-        file = tempfile.TemporaryFile()  # has no name, so nothing stays behind
-        spots = []
-        for array in [*parts, *values.values()]:
-            file.write(b"\0" * (-file.tell() % 8))
-            spots.append((file.tell(), array.dtype, len(array)))
-            file.write(array.tobytes())
-        file.write(b"\0" * 8)
-        file.flush()
-        self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        file.close()
-        views = [np.frombuffer(self._map, dtype, count, at) for at, dtype, count in spots]
-        found = [EliasFano.of(views[i : i + 4]) for i in range(0, 4 * len(sequences), 4)]
-        self.words, self.children, self.pointers = found[0], found[1:3], found[3:]
-        self.values = dict(zip(values, views[len(parts) :]))
+        arrays = [p for s in sequences for p in s.parts()] + [values[n] for n in cls.VALUES]
+        shape = np.array([(_KINDS.index(x.dtype), len(x)) for x in arrays], np.int64)
+        size = 8 * (1 + shape.size) + sum(-(-x.nbytes // 8) * 8 for x in arrays)
+        mapped = mmap.mmap(-1, size)  # of memory alone, no file
+        for at, x in zip(np.cumsum([0, 8, shape.nbytes, *(-(-x.nbytes // 8) * 8 for x in arrays)]).tolist(), [np.array([len(arrays)]), shape, *arrays]):
+            mapped[at : at + x.nbytes] = np.ascontiguousarray(x).tobytes()
+        return cls(mapped)
+
+    def tobytes(self) -> bytes:
+        return self.data[:]
 
     def word(self, hashes: np.ndarray) -> np.ndarray:
         return self.words.find(hashes)

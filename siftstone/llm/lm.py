@@ -30,16 +30,16 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import _words
 from siftstone.llm._sample import held_out
-from siftstone.llm._scratch import materialise
+from siftstone.llm._scratch import discard, materialise, shuffles_end_with_the_write
 from siftstone.llm.eliasfano import Trie, dequantise, quantise
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 BATCH_TOKENS = 500_000
 SHARD_TOKENS = 750_000
 DISCOUNT = 0.8
-#: Hashes of the marks: two before a text, its end, and padding beyond it.
-_BEGIN1, _BEGIN2, _END, _PAD = (np.uint64(0xA5A5_0000_0000_0001 + (i << 40)) for i in range(4))
-_MARKS = np.array([_BEGIN1, _BEGIN2, _END, _PAD])
+#: Hashes of the marks: before a text, its end, and padding beyond it.
+_BEGIN, _END, _PAD = (np.uint64(0xA5A5_0000_0000_0001 + (i << 40)) for i in range(3))
+_MARKS = np.array([_BEGIN, _END, _PAD])
 _U = np.uint64
 
 
@@ -108,6 +108,7 @@ def _packed_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
         tokens = len(places) - len(_MARKS) + len(lengths)
         as_list = lambda x: pa.array([x.to_pylist() if isinstance(x, pa.Array) else x])
         counts = np.bincount(places[len(_MARKS) :], minlength=len(vocabulary))
+        counts[places[0]] += len(lengths)  # a text begins with the first mark, which is dealt on like any other frequent word
         return pa.record_batch(
             [
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
@@ -185,11 +186,6 @@ class _Deal:
         return cls(deal, np.searchsorted(vocabulary, _MARKS), at, parts)
 
 
-def _home(vocabulary_hash: int, shards: int) -> int:
-    """The shard of a word, or the first of a heavy one's."""
-    return (vocabulary_hash >> 48 if shards <= 1024 else vocabulary_hash) % shards
-
-
 class _Layout:
     """The distinct trigrams of a batch in the order of their shards; the same wherever it is computed."""
 
@@ -198,15 +194,14 @@ class _Layout:
         lengths = np.asarray(lengths, np.int64)
         self.lengths = lengths
         marks = deal.marks
-        # each text becomes BEGIN1 BEGIN2 words END PAD PAD
-        firsts = np.concatenate([[0], np.cumsum(lengths + 5)])
+        # each text becomes BEGIN words END PAD PAD
+        firsts = np.concatenate([[0], np.cumsum(lengths + 4)])
         sequence = np.empty(firsts[-1], np.int64)
         of = np.repeat(np.arange(len(lengths)), lengths)
         own = np.arange(len(places)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        sequence[firsts[of] + 2 + own] = places
-        for offset, mark in ((0, 0), (1, 1)):
-            sequence[firsts[:-1] + offset] = marks[mark]
-        for back, mark in ((3, 2), (2, 3), (1, 3)):
+        sequence[firsts[of] + 1 + own] = places
+        sequence[firsts[:-1]] = marks[0]
+        for back, mark in ((3, 1), (2, 2), (1, 2)):
             sequence[firsts[1:] - back] = marks[mark]
         begins = np.ones(len(sequence), bool)  # where a trigram begins
         begins[firsts[1:] - 1] = begins[firsts[1:] - 2] = False
@@ -232,9 +227,8 @@ class _Layout:
         back3 = np.empty_like(triple_order)
         back3[triple_order] = np.arange(len(triple_order))
         self.pair_at, self.triple_at = back[pair_of], back3[triple_of]  # of each trigram's beginning
-        self.begin_doc = np.repeat(np.arange(len(lengths)), lengths + 3)
+        self.begin_doc = np.repeat(np.arange(len(lengths)), lengths + 2)
         self.heavy = [(i, int(number[i] % _U(shards)), n) for i, n in zip(deal.heavy.tolist(), deal.parts.tolist())]
-        self.dealt = parts > 1
         self.shards = shards
 
     def blocks(self):
@@ -253,8 +247,8 @@ class _Layout:
             yield shard, words, a, z, *triple_bounds[:, i].tolist()
 
 
-#: Words, pairs of each, hashes of second words, triples of each pair, low and high bytes of hashes of third words, counts.
-_BLOCK = (np.uint64, np.int32, np.uint32, np.int32, np.uint8, np.uint8, np.uint32)
+#: Words, pairs of each, hashes of second words, triples of each pair, hashes of third words, counts.
+_BLOCK = (np.uint64, np.int32, np.uint32, np.int32, np.uint32, np.uint32)
 #: Counts and followers of words; palettes and places of the codes of pairs, their backing off, and triples.
 _ANSWER = (np.int64, np.int64, *[np.uint16] * 6)
 
@@ -263,19 +257,6 @@ def _prints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(32)).astype(np.uint32)
 
 
-def _split_prints(prints: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three bytes of each third word, and a fourth one where ``wide``: after a word with very many followers."""
-    octets = prints.view(np.uint8).reshape(-1, 4)
-    return octets[:, :3].ravel(), octets[wide, 3]
-
-
-def _joined_prints(low: np.ndarray, high: np.ndarray, wide: np.ndarray) -> np.ndarray:
-    octets = np.zeros((len(wide), 4), np.uint8)
-    octets[:, :3] = low.reshape(-1, 3)
-    octets[wide, 3] = high
-    return octets.view(np.uint32).ravel()
-
-
 def _send(shards: int, heavy: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,12 +270,9 @@ def _send(shards: int, heavy: dict[int, int]):
                 for shard, words, a, z, a3, z3 in layout.blocks():
                     pairs = np.bincount(np.searchsorted(words, layout.pair_u[a:z]), minlength=len(words)).astype(np.int32)
                     triples = np.bincount(layout.triple_pair[a3:z3] - a, minlength=z - a).astype(np.int32)
-                    wide = layout.dealt[layout.pair_u[layout.triple_pair[a3:z3]]]
-                    third = _split_prints(_prints(vocabulary[layout.triple_w[a3:z3]]), wide)
+                    second, third = _prints(vocabulary[layout.pair_v[a:z]]), _prints(vocabulary[layout.triple_w[a3:z3]])
                     out["shard"].append(shard)
-                    out["block"].append(
-                        _pack(np.diff(vocabulary[words], prepend=_U(0)), pairs, _prints(vocabulary[layout.pair_v[a:z]]), triples, *third, counts[a3:z3])
-                    )
+                    out["block"].append(_pack(np.diff(vocabulary[words], prepend=_U(0)), pairs, second, triples, third, counts[a3:z3]))
                 own = pa.array([batch.column("batch")[i].as_py()] * len(out["shard"]), pa.int64())
                 yield pa.record_batch([own, pa.array(out["shard"], pa.int32()), pa.array(out["block"], pa.binary())], names=["batch", "shard", "block"])
 
@@ -333,12 +311,10 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first][some], sums[some]
 
 
-def _read_block(data, heavy: dict[int, int]) -> list[np.ndarray]:
+def _read_block(data) -> list[np.ndarray]:
     """Words, pairs of each, hashes of second words, triples of each pair, hashes of third words, counts."""
-    words, pairs, second, triples, low, high, counts = _unpack(data, *_BLOCK)
-    words = np.cumsum(words, dtype=np.uint64)
-    dealt = np.isin(words, np.array(list(heavy), _U)) if heavy else np.zeros(len(words), bool)
-    return [words, pairs, second, triples, _joined_prints(low, high, np.repeat(np.repeat(dealt, pairs), triples)), counts]
+    words, *rest = _unpack(data, *_BLOCK)
+    return [np.cumsum(words, dtype=np.uint64), *rest]
 
 
 def build_trie(blocks: list[list[np.ndarray]]) -> tuple[Trie, np.ndarray, np.ndarray]:
@@ -368,7 +344,7 @@ def build_trie(blocks: list[list[np.ndarray]]) -> tuple[Trie, np.ndarray, np.nda
         "back_off": quantise(DISCOUNT * followers / np.maximum(pair_counts, 1)),
         "triple": quantise((triple_counts - DISCOUNT) / np.maximum(pair_counts[triple_parent], 1)),
     }
-    return Trie(names, [pairs, triples], [first_pair, first_triple], values), names, name_counts
+    return Trie.build(names, [pairs, triples], [first_pair, first_triple], values), names, name_counts
 
 
 _CERTAIN = quantise(np.ones(1))[0]
@@ -396,37 +372,63 @@ def answer(trie: Trie, block: list[np.ndarray]) -> list[np.ndarray]:
     ]
 
 
-def _shard(shards: int, heavy: dict[int, int]):
+def _replies(trie: Trie, blocks: list[list[np.ndarray]]) -> list[bytes]:
+    """The packed answer to each block; one search for all, cut where blocks' words, pairs and triples end."""
+    if not blocks:
+        return []
+    found = answer(trie, [np.concatenate(x) for x in zip(*blocks)])
+    ends = [np.cumsum([len(b[i]) for b in blocks])[:-1] for i in (0, 0, 2, 2, 4)]
+    cut = zip(*(np.split(x, end) for x, end in zip(found, ends)))
+    return [_pack(count, followers, *(x for c in codes for x in _palette(c))) for count, followers, *codes in cut]
+
+
+_SHARD = "batch long, shard int, answer binary, trie binary, tokens long, types long, singles long, dealt array<long>, dealt_counts array<long>"
+
+
+def _shard(heavy: dict[int, int], replies: bool, keep: bool):
+    """Teach a shard its blocks; give the answers to them, the trie, and in the last row the shard's totals."""
+
     def run(table: pa.Table) -> pa.Table:
-        blocks = [_read_block(x.as_buffer(), heavy) for x in table["block"]]
+        blocks = [_read_block(x.as_buffer()) for x in table["block"]]
         trie, names, counts = build_trie(blocks)
         shard = table["shard"][0].as_py()
-        real = ~np.isin(names, _MARKS[[0, 1, 3]])
+        real = ~np.isin(names, _MARKS[[0, 2]])
         names, counts = names[real], counts[real]
+        # what a word that is dealt to several shards counts is known when they are added up
         dealt = np.isin(names, np.array(list(heavy), _U)) if heavy else np.zeros(len(names), bool)
-        types = int((~dealt).sum()) + sum(_home(h, shards) == shard for h in heavy)
-        singles = int((counts[~dealt] == 1).sum())
-        # one search for all blocks; words, pairs and triples are then cut where their blocks end
-        found = answer(trie, [np.concatenate(x) for x in zip(*blocks)])
-        ends = [np.cumsum([len(b[i]) for b in blocks])[:-1] for i in (0, 0, 2, 2, 4)]
-        rows = []
-        for count, followers, *codes in zip(*(np.split(x, end) for x, end in zip(found, ends))):
-            rows.append(_pack(count, followers, *(x for c in codes for x in _palette(c))))
-        totals = [[int(counts.sum())], [types], [singles]]
+        rows = _replies(trie, blocks) if replies else []
+        totals = [int(counts.sum()), int((~dealt).sum()), int((counts[~dealt] == 1).sum()), names[dealt].view(np.int64), counts[dealt]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         empty = [None] * len(rows)
         return pa.table(
             [
-                pa.array([*table["batch"].to_pylist(), None], pa.int64()),
+                pa.array([*table["batch"].to_pylist()[: len(rows)], None], pa.int64()),
                 pa.array([shard] * (len(rows) + 1), pa.int32()),
                 pa.array([*rows, None], pa.binary()),
-                *(pa.array(empty + t, pa.int64()) for t in totals),
+                pa.array([*empty, trie.tobytes() if keep else None], pa.binary()),
+                *(pa.array([*empty, t], k) for t, k in zip(totals, kinds)),
             ],
-            names=["batch", "shard", "answer", "tokens", "types", "singles"],
+            names=[x.split()[0] for x in _SHARD.split(", ")],
         )
 
     return run
 
 
+def _asked(blocks: pa.Table, tries: pa.Table) -> pa.Table:
+    """Answers of a stored shard; one that has learned nothing knows nothing."""
+    trie = Trie(tries["trie"][0].as_buffer()) if tries.num_rows else build_trie([[np.zeros(0, kind) for kind in _BLOCK]])[0]
+    rows = _replies(trie, [_read_block(x.as_buffer()) for x in blocks["block"]])
+    return pa.table([blocks["batch"], blocks["shard"], pa.array(rows, pa.binary())], names=["batch", "shard", "answer"])
+
+
+def _totals(shards: DataFrame) -> tuple[int, int, int]:
+    """Tokens, distinct words, and words that occur once, of all shards; words dealt to several shards count once."""
+    sums = shards.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "singles"))).first()
+    each = shards.where("size(dealt) > 0").select(F.explode(F.arrays_zip("dealt", "dealt_counts")).alias("w")).groupBy("w.dealt").agg(F.sum("w.dealt_counts").alias("n"))
+    dealt = each.agg(F.count("*"), F.count_if(F.col("n") == 1)).first()
+    return sums[0], sums[1] + dealt[0], sums[2] + dealt[1]
+
+
 # ---------------------------------------------------------------- scores
 
 
@@ -452,19 +454,22 @@ def _assemble(shards: int, tokens: int, types: int, singles: int):
                 followers[words] += got[1]
                 pair[a:z], back[a:z], triple[a3:z3] = got[2][got[3]], got[4][got[5]], got[6][got[7]]
 
-            # the tokens of a text are its trigrams' beginnings from the third on
+            # the tokens of a text are its trigrams' beginnings from the second on
             lengths = layout.lengths
-            firsts = np.cumsum(lengths + 3) - (lengths + 3)
+            firsts = np.cumsum(lengths + 2) - (lengths + 2)
             predicted = np.ones(len(layout.begin_doc), bool)
-            predicted[firsts] = predicted[firsts + 1] = False
+            predicted[firsts] = False
             at = np.flatnonzero(predicted)
+            opens = ~predicted[at - 1]
             word, context = layout.pair_u[layout.pair_at[at]], layout.pair_u[layout.pair_at[at - 1]]
             known = count[word]
             p1 = np.where(known > 0, (known - free) / total, unknown)
             seen = np.maximum(count[context], 1)
-            p2 = dequantise(pair[layout.pair_at[at - 1]]) / seen + DISCOUNT * followers[context] / seen * p1
-            p2 = np.where(count[context] > 0, p2, p1)
+            own, rest = dequantise(pair[layout.pair_at[at - 1]]) / seen, DISCOUNT * followers[context] / seen
+            p2 = np.where(count[context] > 0, own + rest * p1, p1)
+            # before a text's first token stand two marks, and the first of them says no more than the second
             p3 = dequantise(triple[layout.triple_at[at - 2]]) + dequantise(back[layout.pair_at[at - 2]]) * p2
+            p3 = np.where(opens, np.where(count[context] > 0, own + rest * p2, p1), p3)
             base = np.log10((known + 1) / (tokens + types + 1))
             doc = layout.begin_doc[at]
             add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))  # noqa: B023, E731
@@ -494,6 +499,33 @@ _NOTHING = pa.table(
 )
 
 
+def _batched(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int, batch_tokens: int) -> DataFrame:
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, fold).alias("held"), F.col(text_col).alias("text")
+    )
+    return materialise(texts.mapInArrow(_batches(batch_tokens), _PACKED).withColumn("batch", F.monotonically_increasing_id()), "batches")
+
+
+def _plan(packed: DataFrame, shard_tokens: int) -> tuple[int, dict[int, int]]:
+    """The number of shards, and the words that are dealt to several, with how many."""
+    size, batches = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    shards = max(8, -(-size // shard_tokens))
+    share = shard_tokens // 2
+    return shards, {word: min(shards, -(-n // share)) for word, n in _heavy(packed, batches, share).items()}
+
+
+def _sent(packed: DataFrame, shards: int, heavy: dict[int, int]) -> DataFrame:
+    return packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
+
+
+def _assembled(packed: DataFrame, answers: DataFrame, shards: int, heavy: dict[int, int], totals: tuple[int, int, int]) -> DataFrame:
+    own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places").mapInArrow(
+        _slim(shards, heavy),
+        "batch long, ids array<long>, held array<boolean>, lengths array<long>, places binary, deal binary, marks array<long>, heavy array<long>, parts array<long>",
+    )
+    return own.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_assemble(shards, *totals), _RESULT)
+
+
 def scores(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -507,33 +539,64 @@ def scores(
 
     A null text is empty, and has its end as the only token.  Repeated rows
     count as often as they come.  A row without an id is scored and not learned
-    from.  With nothing to learn from every token is unknown, with probability 1.
+    from.  With nothing to learn from every token is unknown, with probability 1;
+    an empty table has no scores.  Other columns of ``docs`` are not read.
 
     A task holds one batch or one shard, and a batch sends one block to each
     shard that it needs; executors with more memory should get larger batches
     and shards, so that blocks stay large on a large corpus.
     """
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), folds, fold).alias("held"), F.col(text_col).alias("text")
-    )
-    packed = materialise(
-        texts.mapInArrow(_batches(batch_tokens), _PACKED).withColumn("batch", F.monotonically_increasing_id()),
-        "batches",
-    )
-    size, batches = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
-    shards = max(8, -(-size // shard_tokens))
-    share = shard_tokens // 2
-    heavy = {word: min(shards, -(-n // share)) for word, n in _heavy(packed, batches, share).items()}
+    packed = _batched(docs, id_col, text_col, folds, fold, batch_tokens)
+    shards, heavy = _plan(packed, shard_tokens)
+    learned = materialise(_sent(packed, shards, heavy).groupBy("shard").applyInArrow(_shard(heavy, True, False), _SHARD), "answers")
+    totals = _totals(learned.where("batch is null"))
+    return _assembled(packed, learned.where("batch is not null").select("batch", "shard", "answer"), shards, heavy, totals)
 
-    sent = packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
-    answers = materialise(
-        sent.groupBy("shard").applyInArrow(_shard(shards, heavy), "batch long, shard int, answer binary, tokens long, types long, singles long"),
-        "answers",
-    )
-    totals = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "singles"))).first()
-    own = packed.select("batch", "ids", "held", "lengths", "vocabulary", "places").mapInArrow(
-        _slim(shards, heavy),
-        "batch long, ids array<long>, held array<boolean>, lengths array<long>, places binary, deal binary, marks array<long>, heavy array<long>, parts array<long>",
+
+def train(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = FOLDS,
+    fold: int = HELD_OUT_FOLD,
+    batch_tokens: int = BATCH_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
+) -> None:
+    """Write the model of the rows outside fold ``fold`` to the folder ``path``, where ``score`` finds it, in any session.
+
+    The folder holds a row with the trie of each shard and a row of totals; it
+    must not exist yet.
+    """
+    spark = docs.sparkSession
+    packed = _batched(docs.where(~held_out(F.col(id_col), folds, fold)), id_col, text_col, folds, fold, batch_tokens)
+    shards, heavy = _plan(packed, shard_tokens)
+    taught = _sent(packed, shards, heavy).groupBy("shard").applyInArrow(_shard(heavy, False, True), _SHARD)
+    with shuffles_end_with_the_write(spark):
+        taught.drop("batch", "answer").write.parquet(f"{path}/shards")
+    discard(packed)
+    totals = _totals(spark.read.parquet(f"{path}/shards"))
+    words, parts = [w - (w >> 63 << 64) for w in heavy], list(heavy.values())
+    spark.createDataFrame([(shards, words, parts, *totals)], "shards int, words array<long>, parts array<int>, tokens long, types long, singles long").write.parquet(
+        f"{path}/totals"
     )
-    replies = answers.where("answer is not null").select("batch", "shard", "answer")
-    return own.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_assemble(shards, *totals), _RESULT)
+
+
+def score(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    folds: int = FOLDS,
+    fold: int = HELD_OUT_FOLD,
+    batch_tokens: int = BATCH_TOKENS,
+) -> DataFrame:
+    """What ``scores`` gives, by the model that ``train`` has written to ``path``; nothing is learned."""
+    spark = docs.sparkSession
+    kept = spark.read.parquet(f"{path}/totals").first()
+    heavy = {w % (1 << 64): n for w, n in zip(kept.words, kept.parts)}
+    packed = _batched(docs, id_col, text_col, folds, fold, batch_tokens)
+    tries = spark.read.parquet(f"{path}/shards").select("shard", "trie")
+    asked = _sent(packed, kept.shards, heavy).groupBy("shard").cogroup(tries.groupBy("shard"))
+    answers = materialise(asked.applyInArrow(_asked, "batch long, shard int, answer binary"), "answers")
+    return _assembled(packed, answers, kept.shards, heavy, (kept.tokens, kept.types, kept.singles))

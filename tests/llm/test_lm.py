@@ -91,13 +91,48 @@ def test_edge_cases(spark):
 def test_words_rare_in_each_batch_are_dealt(spark):
     rows = [(i, " ".join(["rare", *(f"w{i}x{j}" for j in range(2999))])) for i in range(12)]
     texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "false AS held", "text").repartition(4).cache()
-    want = {int(lm._words.hash_words(next(lm._words.text_chunks(word_of("rare"), "text"))[2], lower=True)[0]): 12}
+    want = {int(lm._words.hash_words(next(lm._words.text_chunks(word_of("rare"), "text"))[2], lower=True)[0]): 12, int(lm._BEGIN): 12}
     for size in (3000, 9000, 100_000):  # a third of a thousandth of a batch
         packed = texts.mapInArrow(lm._batches(size), lm._PACKED).cache()
         assert lm._heavy(packed, packed.count(), 10) == want
     check(lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), batch_tokens=3000, shard_tokens=20).collect(), brute(rows))
 
 
+def test_a_frequent_word_of_held_out_texts_alone_is_no_known_word(spark):
+    held = [d for d in range(400) if zlib.crc32(str(d).encode()) % 7 == 2][:6]
+    rows = [(d, "only here " * 50) for d in held] + [(d, f"word{d} and more") for d in range(400) if d not in held]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bases = []
+    for shard_tokens in (40, 200, 750_000):
+        got = lm.scores(docs, shard_tokens=shard_tokens).collect()
+        check(got, brute(rows))
+        bases.append(sorted((r.doc_id, round(r.base_score, 9), r.n_known) for r in got))
+    assert bases[0] == bases[1] == bases[2]
+
+
+def test_openings_are_dealt_on(spark):
+    rows = [(i, f"w{i % 50} x{i} y") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = lm._batched(docs, "doc_id", "text", 7, 2, 100)
+    shards, heavy = lm._plan(packed, 60)
+    assert heavy[int(lm._BEGIN)] > 1
+    check(lm.scores(docs, batch_tokens=100, shard_tokens=60).collect(), brute(rows))
+
+
+@pytest.mark.parametrize("shard_tokens", [750_000, 200])
+def test_a_stored_model_scores_as_one_just_learned(spark, tmp_path, shard_tokens):
+    docs, rows = rows_of(spark)
+    docs, rows = docs.where("doc_id < 120"), [r for r in rows if r[0] < 120]
+    lm.train(docs, str(tmp_path / "model"), shard_tokens=shard_tokens)
+    check(lm.score(docs, str(tmp_path / "model")).collect(), brute(rows))
+    new = [(9001, "never seen words"), (9002, rows[0][1]), (9003, None)]
+    texts = {d: t for d, t in rows} | dict(new)
+    got = lm.score(spark.createDataFrame(new, "doc_id long, text string"), str(tmp_path / "model")).collect()
+    assert {r.train_tokens for r in got} == {brute(rows)[0][4]} and all(r.n_tokens == len(WORD.findall(texts[r.doc_id] or "")) + 1 for r in got)
+    same = next(r for r in lm.score(docs, str(tmp_path / "model")).collect() if r.doc_id == rows[0][0])
+    assert next(r.score for r in got if r.doc_id == 9002) == pytest.approx(same.score)
+
+
 def word_of(word):
     import pyarrow as pa
 
