@@ -35,8 +35,12 @@ from siftstone.llm.eliasfano import Trie, dequantise, quantise
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 BATCH_TOKENS = 500_000
-SHARD_TOKENS = 750_000
+SHARD_TOKENS = 600_000
 DISCOUNT = 0.8
+#: Blocks of a shard that are searched for at once.
+ANSWERED = 32
+#: A word is told by the upper 56 bits of its hash; marks have lower ones too.
+_WORD_BITS = np.uint64((1 << 64) - 256)
 #: Hashes of the marks: before a text, its end, and padding beyond it.
 _BEGIN, _END, _PAD = (np.uint64(0xA5A5_0000_0000_0001 + (i << 40)) for i in range(3))
 _MARKS = np.array([_BEGIN, _END, _PAD])
@@ -124,7 +128,7 @@ def _packed_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa
 
     for batch in batches:
         for first, last, words in _words.text_chunks(batch, "text"):
-            hashes = _words.hash_words(words, lower=True)
+            hashes = _words.hash_words(words, lower=True) & _WORD_BITS
             held.append((batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), np.diff(words.bounds), hashes))
             count += len(hashes)
             if count >= size:
@@ -373,13 +377,15 @@ def answer(trie: Trie, block: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _replies(trie: Trie, blocks: list[list[np.ndarray]]) -> list[bytes]:
-    """The packed answer to each block; one search for all, cut where blocks' words, pairs and triples end."""
-    if not blocks:
-        return []
-    found = answer(trie, [np.concatenate(x) for x in zip(*blocks)])
-    ends = [np.cumsum([len(b[i]) for b in blocks])[:-1] for i in (0, 0, 2, 2, 4)]
-    cut = zip(*(np.split(x, end) for x, end in zip(found, ends)))
-    return [_pack(count, followers, *(x for c in codes for x in _palette(c))) for count, followers, *codes in cut]
+    """The packed answer to each block; a search for ANSWERED blocks at once, cut where their words, pairs and triples end."""
+    out = []
+    for at in range(0, len(blocks), ANSWERED):
+        some = blocks[at : at + ANSWERED]
+        found = answer(trie, [np.concatenate(x) for x in zip(*some)])
+        ends = [np.cumsum([len(b[i]) for b in some])[:-1] for i in (0, 0, 2, 2, 4)]
+        cut = zip(*(np.split(x, end) for x, end in zip(found, ends)))
+        out += [_pack(count, followers, *(x for c in codes for x in _palette(c))) for count, followers, *codes in cut]
+    return out
 
 
 _SHARD = "batch long, shard int, answer binary, trie binary, tokens long, types long, singles long, dealt array<long>, dealt_counts array<long>"
