@@ -2,8 +2,8 @@
 
 Each is one Arrow function whose struct result can be taken apart without
 running it again.  A null payload gives null.  Equal payloads of a batch are
-looked at once.  ``dictionary`` is the path of a complete dictionary, readable
-where the tasks run; without it the built-in lexicon is used.
+looked at once.  ``dictionary`` is the path of a dictionary, readable where the
+tasks run, or its (word, type) pairs; without it the built-in lexicon is used.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from siftstone.functions import htmlscan, sqlscan
-from siftstone.functions.lexicon import load
+from siftstone.functions.lexicon import Dictionary, load
 
 VERSION = "0.1.1"
 
@@ -65,7 +65,7 @@ def _stats(fold: sqlscan.Fold) -> dict:
     return {"tokens": fold.pulled} | {f"comment_{k}": v for k, v in fold.comments.items()}
 
 
-def detect_sqli(payload: Column | str, flags: Column | int = 0, dictionary: str | None = None) -> Column:
+def detect_sqli(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     """Verdict over all contexts, with the fingerprint and flags of the last one tried."""
 
     def look(data: bytes, flags: int) -> dict:
@@ -75,7 +75,7 @@ def detect_sqli(payload: Column | str, flags: Column | int = 0, dictionary: str
     return _applied(look, _VERDICT, VERDICT, payload, flags)
 
 
-def sqli_check(payload: Column | str, flags: Column | int = 0, dictionary: str | None = None) -> Column:
+def sqli_check(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     """Verdict, fingerprint, folded tokens and counts in one context."""
 
     def look(data: bytes, flags: int) -> dict:
@@ -85,25 +85,35 @@ def sqli_check(payload: Column | str, flags: Column | int = 0, dictionary: str |
     return _applied(look, _CHECKED, CHECKED, payload, flags)
 
 
-def sqli_fingerprint(payload: Column | str, flags: Column | int = 0, dictionary: str | None = None) -> Column:
+def sqli_fingerprint(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     return _applied(lambda data, flags: sqlscan.Fold(data, flags, load(dictionary)).fingerprint, _S, "string", payload, flags)
 
 
-def sqli_fold(payload: Column | str, flags: Column | int = 0, dictionary: str | None = None) -> Column:
+def sqli_fold(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     """At most five folded tokens."""
     return _applied(
         lambda data, flags: [t.row() for t in sqlscan.Fold(data, flags, load(dictionary)).tokens], pa.list_(_SQL_TOKEN), f"array<{SQL_TOKEN}>", payload, flags
     )
 
 
-def sqli_tokens(payload: Column | str, flags: Column | int = 0, dictionary: str | None = None) -> Column:
+def sqli_tokens(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     """All raw tokens."""
     return _applied(
         lambda data, flags: [t.row() for t in sqlscan.Lexer(data, flags, load(dictionary))], pa.list_(_SQL_TOKEN), f"array<{SQL_TOKEN}>", payload, flags
     )
 
 
-def sqli_passes(payload: Column | str, flags: Column | int = 0, dictionary: str | None = None) -> Column:
+def sqli_token_types(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
+    """The types of all raw tokens, end to end."""
+    return _applied(lambda data, flags: "".join(t.type for t in sqlscan.Lexer(data, flags, load(dictionary))), _S, "string", payload, flags)
+
+
+def sqli_word_type(word: Column | str, dictionary: Dictionary | None = None) -> Column:
+    """The type of a whole word or phrase in any case; ``n`` for one that isn't known."""
+    return _applied(lambda data, _: load(dictionary).word(data), _S, "string", word, 0)
+
+
+def sqli_passes(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     """The contexts that were tried, in order: flags, verdict, fingerprint and counts."""
     kind = pa.list_(pa.struct([("flags", _I), ("is_injection", pa.bool_()), ("fingerprint", _S), ("stats", _STATS)]))
 
@@ -114,18 +124,24 @@ def sqli_passes(payload: Column | str, flags: Column | int = 0, dictionary: str
     return _applied(look, kind, f"array<struct<flags:int,is_injection:boolean,fingerprint:string,stats:{STATS}>>", payload, flags)
 
 
-def detect_xss(payload: Column | str, dictionary: str | None = None) -> Column:
-    """Verdict over all contexts, with the first context and rule that hit."""
+def detect_xss(payload: Column | str, dictionary: Dictionary | None = None) -> Column:
+    """Verdict over all contexts, with the first context and rule that hit.
+
+    A payload that ``may_be_xss`` rules out doesn't leave the JVM.
+    """
 
     def look(data: bytes, _: int) -> dict:
         hit = htmlscan.detect(data, load(dictionary))
         found = {"context": htmlscan.CONTEXTS[hit[0]], "rule": hit[1], "pos": hit[2].pos} if hit else {}
         return {"injection_type": "XSS", "is_injection": hit is not None} | found
 
-    return _applied(look, _XSS, XSS, payload, 0)
+    payload = F.col(payload) if isinstance(payload, str) else payload
+    safe = F.struct(F.lit("XSS").alias("injection_type"), F.lit(False).alias("is_injection"), *(F.lit(None).cast(k).alias(n) for n, k in (("context", "string"), ("rule", "string"), ("pos", "int"))))
+    possible = may_be_xss(payload)
+    return F.coalesce(_applied(look, _XSS, XSS, F.when(possible, payload.cast("binary")), 0), F.when(~possible, safe))
 
 
-def xss_check(payload: Column | str, context: Column | int = htmlscan.DATA, dictionary: str | None = None) -> Column:
+def xss_check(payload: Column | str, context: Column | int = htmlscan.DATA, dictionary: Dictionary | None = None) -> Column:
     """Verdict in one context."""
     return _applied(lambda data, context: htmlscan.first_hit(data, context, load(dictionary)) is not None, pa.bool_(), "boolean", payload, context)
 
@@ -140,7 +156,7 @@ def html_decode(payload: Column | str) -> Column:
     return _applied(lambda data, _: list(htmlscan.decoded(data)), pa.list_(_I), "array<int>", payload, 0)
 
 
-def bad_url(payload: Column | str, dictionary: str | None = None) -> Column:
+def bad_url(payload: Column | str, dictionary: Dictionary | None = None) -> Column:
     return _applied(lambda data, _: htmlscan.bad_url(data, load(dictionary)), pa.bool_(), "boolean", payload, 0)
 
 
@@ -165,7 +181,7 @@ def may_be_xss(payload: Column) -> Column:
     return payload.cast("string").contains("<") | payload.cast("string").contains("=")
 
 
-def register(spark: SparkSession, dictionary: str | None = None) -> None:
+def register(spark: SparkSession, dictionary: Dictionary | None = None) -> None:
     """SQL functions of a binary payload: detect_sqli, sqli_fingerprint, sqli_tokens and sqli_fold (payload, flags), xss_check and html5_tokens (payload, context), siftstone_version()."""
     kernels = {
         "detect_sqli": _kernel(

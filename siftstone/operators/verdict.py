@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import columns, sqlscan
-from siftstone.functions.lexicon import load
+from siftstone.functions.lexicon import Dictionary, load
 
 #: Dimension tables are broadcast up to this many rows; beyond it Spark chooses the join by size.
 BROADCAST_ROWS = 20_000
@@ -22,7 +22,7 @@ def bounded(dimension: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(dimension) if rows <= BROADCAST_ROWS else dimension
 
 
-def word_table(spark: SparkSession, dictionary: str | None = None) -> DataFrame:
+def word_table(spark: SparkSession, dictionary: Dictionary | None = None) -> DataFrame:
     """(word, type) of the lexicon's SQL words."""
     return spark.createDataFrame(load(dictionary).rows(), "word string, type string")
 
@@ -129,12 +129,16 @@ def whitelist(fingerprint: Column, tokens: Column, pulled: Column, payload: Colu
 
 
 def scan_once(payloads: DataFrame, look, payload: str = "payload") -> DataFrame:
-    """``payloads`` with the columns that ``look`` (a function of a payload column) gives, each distinct payload looked at once.
+    """``payloads`` with ``result``, what ``look`` (a function of a payload column) gives, each distinct payload looked at once.
 
-    Worth it where payloads repeat: distinct payloads are shuffled and joined
-    back.  A null payload gives null.
+    Distinct payloads are shuffled and joined back.  Where more than half of
+    the payloads are distinct, as estimated, each is looked at where it is.  A
+    null payload gives null.
     """
     spark = payloads.sparkSession
+    kinds, rows = payloads.agg(F.approx_count_distinct(payload), F.count(payload)).first()
+    if 2 * kinds > rows:
+        return payloads.withColumn("result", look(F.col(payload).cast("binary")))
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct = payloads.select(F.col(payload).cast("binary").alias("__payload")).where("__payload is not null").distinct()
     # dealt by the key of the join, and to as many tasks as there are: payloads are few bytes and much work
@@ -144,7 +148,7 @@ def scan_once(payloads: DataFrame, look, payload: str = "payload") -> DataFrame:
     return keyed.join(found, "__key", "left").drop("__key")
 
 
-def relational_sqli(payloads: DataFrame, key: str, payload: str = "payload", dictionary: str | None = None) -> DataFrame:
+def relational_sqli(payloads: DataFrame, key: str, payload: str = "payload", dictionary: Dictionary | None = None) -> DataFrame:
     """Verdicts through the stages: passes, folding, look-up, CASE, first hit.
 
     One row per row of ``payloads`` (``key`` must be unique): key, is_injection,

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import columns
-from siftstone.functions.lexicon import load
+from siftstone.functions.lexicon import collected, load
 from siftstone.operators import compare, report, verdict
-from siftstone.plans import golden
+from siftstone.plans import golden, rules
 from siftstone.sources import payloads, sinks
+from siftstone.sources.shared import scratch_path
 from siftstone.streaming import detection
 
 
@@ -45,17 +46,20 @@ TEMPLATES = [
 ]
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, ts, template (its number) and payload."""
+def _filled(events: DataFrame) -> DataFrame:
+    """event_id, ts, template (its number) and payload of ``events``, a table or a stream."""
     number = F.pmod("event_id", F.lit(len(TEMPLATES))).cast("int")
     text = F.lit(TEMPLATES[0][0])
     for i, (t, _, _) in enumerate(TEMPLATES):
         text = F.when(number == i, F.lit(t)).otherwise(text)
     filled = F.replace(text, F.lit("{}"), F.col("event_id").cast("string"))
-    events = payloads.spread(_table(spark, sf_dir, "events").select("event_id", "ts", "event_type"))
     return events.select("event_id", "ts", "event_type", number.alias("template"), filled.cast("binary").alias("payload"))
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(payloads.spread(_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")))
+
+
 _EVENTS = f"""(SELECT event_id, ts, event_type, CAST(event_id % {len(TEMPLATES)} AS INTEGER) AS template,
   replace(CASE event_id % {len(TEMPLATES)} {' '.join(f'WHEN {i} THEN {_sql(t)}' for i, (t, _, _) in enumerate(TEMPLATES))} END,
   '{{}}', CAST(event_id AS VARCHAR)) AS payload FROM events)"""
@@ -175,10 +179,8 @@ _CLASS_CASE = " ".join(f"WHEN h IN ({', '.join(f'{b:02X}'.join(chr(39) * 2) for
 @query(f"""SELECT class, count(*) AS n FROM (SELECT CASE {_CLASS_CASE} ELSE 'word' END AS class FROM
   (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)) GROUP BY class""")
 def sqli_char_class(spark, sf_dir):
-    digits = F.explode(F.regexp_extract_all(F.hex(F.col("text").cast("binary")), F.lit("(..)"), F.lit(1))).alias("h")
-    # bytes are counted before they are named, so that names are looked up 256 times
-    counted = _table(spark, sf_dir, "documents").select(digits).groupBy("h").agg(F.count("*").alias("n"))
-    return counted.groupBy(sinks.byte_class(F.col("h")).alias("class")).agg(F.sum("n").alias("n"))
+    counted = sinks.byte_counts(payloads.spread(_table(spark, sf_dir, "documents").select("text")), "text")
+    return counted.groupBy(sinks.byte_class(F.col("byte")).alias("class")).agg(F.sum("n").alias("n"))
 
 
 def _keyword_rows() -> list[tuple[str, str]]:
@@ -262,8 +264,8 @@ def documents_sqli(spark, sf_dir):
 
 @query()
 def documents_token_types(spark, sf_dir):
-    types = F.transform(columns.sqli_tokens("text"), lambda t: t["type"])
-    return payloads.spread(_table(spark, sf_dir, "documents").select("text")).select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    types = F.explode(F.regexp_extract_all(columns.sqli_token_types("text"), F.lit("(?s)(.)"), F.lit(1))).alias("type")
+    return payloads.spread(_table(spark, sf_dir, "documents").select("text")).select(types).groupBy("type").agg(F.count("*").alias("n"))
 
 
 # Statements with their raw tokens as text, and markup with its tokens.
@@ -367,21 +369,32 @@ def payload_contains(spark, sf_dir):
 
 @query("SELECT event_id, CAST(to_json({'event_id': event_id, 'type': event_type}) AS VARCHAR) AS json FROM events")
 def json_rows(spark, sf_dir):
-    rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"))
-    return rows.select("event_id", F.to_json(F.struct("event_id", "type")).alias("json"))
+    path = scratch_path(spark, "json")
+    sinks.write_json(_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type")), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.col("value").alias("json"))
+
+
+#: Fingerprints of the injections among TEMPLATES.
+_KNOWN_PRINTS = ["s&sos", "sc", "1UEnk", None, None, None, None, None]
 
 
 def _two_engines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The scanner and what the templates are known for."""
+    """The scanner, and an engine that knows the templates but errs: in the verdict of each seventh event, in the fingerprint of each fifth."""
     events = _events(spark, sf_dir)
     known = F.element_at(F.array(*(F.lit(x) for _, x, _ in TEMPLATES)), F.col("template") + 1)
+    prints = F.element_at(F.array(*(F.lit(p).cast("string") for p in _KNOWN_PRINTS)), F.col("template") + 1)
     engine = events.select(F.col("event_id").alias("input"), columns.detect_sqli("payload").alias("r")).select("input", "r.is_injection", "r.fingerprint")
-    return engine, events.select(F.col("event_id").alias("input"), known.alias("is_injection"), F.lit(None).cast("string").alias("fingerprint"))
+    erring = events.select(
+        F.col("event_id").alias("input"), (known != (F.col("event_id") % 7 == 0)).alias("is_injection"), F.when(F.col("event_id") % 5 != 0, prints).otherwise("none").alias("fingerprint")
+    )
+    return engine, erring
 
 
-@query("SELECT event_id AS input, true AS match_result FROM events")
+@query(f"""SELECT event_id AS input, event_id % 7 <> 0 AS match_result, CASE WHEN bad AND event_id % 7 <> 0 THEN event_id % 5 <> 0 END AS match_fingerprint,
+  NOT (bad AND event_id % 7 <> 0 AND event_id % 5 <> 0) AS differs
+  FROM {_EVENTS} e JOIN {_values([(i, x) for i, (_, x, _) in enumerate(TEMPLATES)], 'i, bad')} ON e.template = v.i""")
 def engine_compare(spark, sf_dir):
-    return compare.compare(*_two_engines(spark, sf_dir)).select("input", "match_result")
+    return compare.compare(*_two_engines(spark, sf_dir)).select("input", "match_result", "match_fingerprint", "differs")
 
 
 _TOKEN_SQL = "(SELECT doc_id, CAST(range AS INTEGER) AS index, w[range + 1] AS token FROM (SELECT doc_id, string_split(lang || ' ' || source || {}, ' ') AS w FROM documents), range(4) WHERE range < len(w))"
@@ -429,7 +442,204 @@ def pass_fail(spark, sf_dir):
     return report.passed(_results(spark, sf_dir))
 
 
-@query(f"""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS payloads, count(*) FILTER (bad) AS injections FROM
-  (SELECT ts, bad FROM {_EVENTS} e JOIN {_values([(i, a or b) for i, (_, a, b) in enumerate(TEMPLATES)], 'i, bad')} ON e.template = v.i) GROUP BY 1""")
-def stream_window_counts(spark, sf_dir):
+_WINDOWS = f"""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS payloads, count(*) FILTER (bad) AS injections FROM
+  (SELECT ts, bad FROM {_EVENTS} e JOIN {_values([(i, a or b) for i, (_, a, b) in enumerate(TEMPLATES)], 'i, bad')} ON e.template = v.i) GROUP BY 1"""
+
+
+@query(_WINDOWS)
+def batch_window_counts(spark, sf_dir):
     return detection.window_counts(detection.detected(_events(spark, sf_dir)))
+
+
+@query(f"SELECT * FROM ({_WINDOWS}) WHERE window_start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'")
+def stream_window_counts(spark, sf_dir):
+    """The windows that the watermark has closed when the stream has read all events."""
+    schema = _table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = scratch_path(spark, "stream")
+    timed = _filled(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    detection.start(detection.window_counts(detection.detected(timed)), f"{path}/windows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/windows").withColumn("window_start", F.col("window_start").cast(schema["ts"].dataType))
+
+
+# ---------------------------------------------------------------- rules, one by one
+
+
+def _cases(spark, rows: list[tuple], names: str) -> DataFrame:
+    """``rows`` with the bytes of their ``payload`` as ``data``."""
+    at = [n.split()[0] for n in names.split(", ")].index("payload")
+    return spark.createDataFrame([(*r, bytearray(golden.data(r[at]))) for r in rows], f"{names}, data binary")
+
+
+@query(f"SELECT * FROM {_values(rules.LEXER, 'rule, payload, flags, tokens')}")
+def sqli_lexer_rules(spark, sf_dir):
+    rows = _cases(spark, [r[:3] for r in rules.LEXER], "rule string, payload string, flags int")
+    shown = F.transform(columns.sqli_tokens("data", F.col("flags")), sinks.token_text)
+    return rows.select("rule", "payload", "flags", F.array_join(shown, " ~ ").alias("tokens"))
+
+
+@query(f"SELECT * FROM {_values([(*r[:3], ' ~ '.join(r[3].split(' ~ ')[:2])) for r in rules.LEXER], 'rule, payload, flags, tokens')}")
+def sqli_first_tokens(spark, sf_dir):
+    rows = _cases(spark, [r[:3] for r in rules.LEXER], "rule string, payload string, flags int")
+    shown = F.transform(sinks.first_tokens(columns.sqli_tokens("data", F.col("flags")), 2), sinks.token_text)
+    return rows.select("rule", "payload", "flags", F.array_join(shown, " ~ ").alias("tokens"))
+
+
+@query(f"SELECT * FROM {_values(rules.FOLDING, 'rule, payload, fingerprint')}")
+def sqli_folding_rules(spark, sf_dir):
+    rows = _cases(spark, [r[:2] for r in rules.FOLDING], "rule string, payload string")
+    return rows.select("rule", "payload", verdict.fingerprint_of(columns.sqli_fold("data")).alias("fingerprint"))
+
+
+@query(f"SELECT * FROM {_values(rules.WHITELIST, 'rule, payload, flags, fingerprint, is_injection')}")
+def sqli_whitelist_rules(spark, sf_dir):
+    rows = _cases(spark, [r[:3] for r in rules.WHITELIST], "rule string, payload string, flags int")
+    checked = rows.withColumn("c", columns.sqli_check("data", F.col("flags")))
+    # the rules as one CASE, on fingerprints that are looked up by a join
+    stands = verdict.whitelist(F.col("c.fingerprint"), F.col("c.tokens"), F.col("c.stats.tokens"), F.col("data"))
+    judged = checked.select("rule", "payload", "flags", F.col("c.fingerprint").alias("fingerprint"), stands.alias("is_injection"))
+    listed = verdict.blacklisted(judged, _listed(spark))
+    return listed.unionByName(verdict.not_blacklisted(judged, _listed(spark)).withColumn("is_injection", F.lit(False)))
+
+
+@query(f"SELECT * FROM {_values([r[:3] + r[4:] for r in rules.WHITELIST], 'rule, payload, flags, is_injection')}")
+def sqli_single_context(spark, sf_dir):
+    rows = _cases(spark, [r[:3] for r in rules.WHITELIST], "rule string, payload string, flags int")
+    return rows.select("rule", "payload", "flags", columns.sqli_check("data", F.col("flags"))["is_injection"].alias("is_injection"))
+
+
+@query(f"SELECT * FROM {_values(rules.SCHEDULE, 'payload, passes')}")
+def sqli_context_schedule(spark, sf_dir):
+    rows = _cases(spark, [r[:1] for r in rules.SCHEDULE], "payload string")
+    return rows.select("payload", F.array_join(F.transform(columns.sqli_passes("data"), lambda p: p["flags"].cast("string")), ",").alias("passes"))
+
+
+@query(f"SELECT * FROM {_values(rules.STATES, 'state, payload, context, tokens')}")
+def html5_states(spark, sf_dir):
+    rows = _cases(spark, [r[:3] for r in rules.STATES], "state string, payload string, context int")
+    line = lambda t: F.concat_ws(",", t["type"], t["len"].cast("string"), sinks.printable(t["val"]))
+    return rows.select("state", "payload", "context", F.array_join(F.transform(columns.html5_tokens("data", F.col("context")), line), " ~ ").alias("tokens"))
+
+
+@query(f"SELECT * FROM {_values(rules.XSS, 'rule, payload, is_injection')}")
+def xss_rules(spark, sf_dir):
+    rows = _cases(spark, [r[:2] for r in rules.XSS], "rule string, payload string")
+    return rows.select("rule", "payload", columns.detect_xss("data")["is_injection"].alias("is_injection"))
+
+
+# How many words of each type, fingerprints of each length and event names are listed.
+_WORD_COUNTS = [("f", 524), ("k", 208), ("t", 81), ("o", 45), ("n", 35), ("T", 27), ("v", 20), ("E", 18), ("U", 9), ("B", 6), ("1", 6), ("&", 5), ("A", 1)]
+_PRINT_COUNTS = [(5, 7926), (4, 356), (3, 78), (2, 6), (1, 1)]
+_EVENT_COUNT = 298
+
+
+@query(f"SELECT type, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS known FROM {_values(_WORD_COUNTS, 'type, n')}")
+def sqli_dictionary_lookup(spark, sf_dir):
+    looked = verdict.word_table(spark).select("type", columns.sqli_word_type(F.lower("word")).alias("found"))
+    return looked.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("type") == F.col("found")).alias("known"))
+
+
+@query(f"SELECT length, CAST(n AS BIGINT) AS n FROM {_values(_PRINT_COUNTS, 'length, n')}")
+def sqli_fingerprint_table(spark, sf_dir):
+    prints = _listed(spark).select(F.lower("fingerprint").alias("fingerprint"))
+    asked = prints.unionByName(prints.select(F.concat("fingerprint", F.lit("?")).alias("fingerprint")))  # the latter are never listed
+    return verdict.blacklisted(asked, _listed(spark)).groupBy(F.length("fingerprint").alias("length")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST({_EVENT_COUNT} AS BIGINT) AS events, CAST({_EVENT_COUNT} AS BIGINT) AS hits, CAST(0 AS BIGINT) AS others")
+def xss_event_table(spark, sf_dir):
+    names = spark.createDataFrame([(e.decode(),) for e in sorted(load().events)], "event string")
+    attack = lambda end: columns.detect_xss(F.concat(F.lit("<x on"), F.lower("event"), F.lit(end)))["is_injection"]
+    return names.agg(F.count("*").alias("events"), F.count_if(attack("=1>")).alias("hits"), F.count_if(attack("_=1>")).alias("others"))
+
+
+@query("SELECT * FROM (VALUES ('frobnicate(x)', 'f(n)', true), ('union(x)', 'n(n)', false)) AS v(payload, fingerprint, is_injection)")
+def sqli_own_dictionary(spark, sf_dir):
+    words = collected(spark.createDataFrame([("FROBNICATE", "f"), ("SELECT", "E"), ("F(N)", "F")], "word string, type string"))
+    rows = spark.createDataFrame([("frobnicate(x)",), ("union(x)",)], "payload string")
+    return rows.select("payload", columns.detect_sqli("payload", 0, words).alias("r")).select("payload", "r.fingerprint", "r.is_injection")
+
+
+@query("SELECT '0.1.1' AS version")
+def library_version(spark, sf_dir):
+    return spark.range(1).select(columns.version().alias("version"))
+
+
+# ---------------------------------------------------------------- files, written and read again
+
+
+def _lines(spark, sf_dir) -> str:
+    """The folder of one file with three lines for each item of the benchmark: a payload within blanks, a blank one, a comment."""
+    path = scratch_path(spark, "lines")
+    items = _table(spark, sf_dir, "benchmark").orderBy("item_id").coalesce(1)
+    items.select(F.format_string("  p%d \n\n# c%d", "item_id", "item_id")).write.text(path)
+    return path
+
+
+@query("SELECT 'p' || item_id AS text FROM benchmark UNION ALL SELECT '# c' || item_id FROM benchmark")
+def line_source(spark, sf_dir):
+    return payloads.lines(spark, _lines(spark, sf_dir)).select(F.col("payload").cast("string").alias("text"))
+
+
+@query("SELECT CAST(3 * row_number() OVER (ORDER BY item_id) - 2 AS INTEGER) AS line_no, '  p' || item_id || ' ' AS text FROM benchmark")
+def batch_source(spark, sf_dir):
+    return payloads.batch(spark, _lines(spark, sf_dir)).select("line_no", F.col("payload").cast("string").alias("text"))
+
+
+@query("SELECT item_id, CAST(octet_length(encode(text)) + 1 AS INTEGER) AS length FROM benchmark")
+def file_source(spark, sf_dir):
+    path = scratch_path(spark, "files")
+    _table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    found = payloads.files(spark, path, "part-*.txt")
+    return found.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), F.octet_length("payload").alias("length"))
+
+
+@query("SELECT 'a é' AS text")
+def single_source(spark, sf_dir):
+    return payloads.single(spark, "a é").select(F.col("payload").cast("string").alias("text"))
+
+
+_CSV_ROWS = [(0, "s", "x,y", 1, 3, '"', '"'), (1, "s", 'p"q', 7, 3, "'", "'")]
+
+
+@query(f"SELECT * FROM {_values(_CSV_ROWS, 'token_index, token_type, value, position, length, str_open, str_close')}")
+def csv_file(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    tokens = payloads.single(spark, "\"x,y\" 'p\"q'").select(columns.sqli_tokens("payload").alias("tokens"))
+    sinks.write_csv(sinks.token_rows(tokens), path)
+    return spark.read.schema("token_index int, token_type string, value string, position int, length int, str_open string, str_close string").csv(path, header=True, quote='"', escape='"')
+
+
+#: Lexer cases that a text file can hold and that are read in the default dialect.
+_GOLDEN_CASES = [(rule, payload, tokens) for rule, payload, flags, tokens in rules.LEXER if flags == 8 and not payload.startswith("hex:")]
+
+
+@query(f"SELECT rule, count(*) AS cases, count(*) AS passed FROM {_values(_GOLDEN_CASES, 'rule, payload, tokens')} GROUP BY rule")
+def golden_files(spark, sf_dir):
+    """Golden files of token cases: written, parsed, run through the scanner and compared line by line."""
+    path = scratch_path(spark, "golden")
+    texts = [(i, f"--TEST--\n{rule}\n--INPUT--\n{payload}\n--EXPECTED--\n" + tokens.replace(" ~ ", "\n")) for i, (rule, payload, tokens) in enumerate(_GOLDEN_CASES)]
+    spark.createDataFrame(texts, "i int, value string").write.partitionBy("i").text(path)
+    cases = payloads.golden_cases(spark, path, "tokens")
+    shown = cases.withColumn("found", F.transform(columns.sqli_tokens("input", 8), sinks.token_text))
+    differing = compare.array_diff(shown, "found", "expected").withColumn("wrong", F.filter("diff", lambda d: ~d["same"]))
+    return differing.groupBy(F.col("name").alias("rule")).agg(F.count("*").alias("cases"), F.count_if(F.size("wrong") == 0).alias("passed"))
+
+
+@query(f"""SELECT level, category, file, tests, tests AS matches, CAST(0 AS BIGINT) AS mismatches, 100.0::DOUBLE AS rate, 'excellent' AS grade FROM
+  (SELECT CASE grouping(category, file) WHEN 0 THEN 'file' WHEN 1 THEN 'category' ELSE 'total' END AS level, category, file, count(*) AS tests FROM
+  (SELECT CASE WHEN bad THEN 'attacks' ELSE 'plain' END AS category, 'template' || template AS file FROM {_EVENTS} e
+  JOIN {_values([(i, x) for i, (_, x, _) in enumerate(TEMPLATES)], 'i, bad')} ON e.template = v.i) GROUP BY ROLLUP (category, file))""")
+def corpus_report(spark, sf_dir):
+    """Corpora in files, URL-encoded and with comments; read, judged, held against what their category says, and reported by file and category."""
+    path = scratch_path(spark, "corpora")
+    events = _events(spark, sf_dir)
+    bad = F.element_at(F.array(*(F.lit(x) for _, x, _ in TEMPLATES)), F.col("template") + 1)
+    line = F.replace(F.url_encode(F.col("payload").cast("string")), F.lit("+"), F.lit("%20"))
+    written = events.select(F.when(bad, "attacks").otherwise("plain").alias("category"), F.format_string("template%d", "template").alias("file"), line.alias("value"))
+    notes = written.select("category", "file", F.lit("# note").alias("value")).distinct()
+    written.unionByName(notes).write.partitionBy("category", "file").text(path)
+    read = [payloads.corpus(spark, f"{path}/category={c}", c, expected) for c, expected in (("attacks", True), ("plain", False))]
+    rows = read[0].unionByName(read[1]).withColumn("file", F.regexp_extract("file", "file=([^/]+)", 1))
+    judged = rows.select("category", "file", (columns.detect_sqli("payload")["is_injection"] == F.col("expect_injection")).alias("match"))
+    return report.category_report(judged)

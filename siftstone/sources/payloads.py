@@ -5,7 +5,7 @@ Every source gives a binary column ``payload``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _TRIMMED = r"^\s+|\s+$"
@@ -54,12 +54,18 @@ def url_decoded(text: Column) -> Column:
 def batch(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, payload) of files of lines; blank ones and those that begin with # are skipped, but counted.
 
-    A file is read as a whole, so numbers don't depend on how it is split; the
-    payload isn't trimmed.
+    A large file is read in pieces: a line's number is its place in its piece,
+    after the lines of the pieces before.  Rows come in no order; the payload isn't
+    trimmed.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\n", "\n").alias("value"))
-    each = whole.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return each.where((_trim(F.col("line")) != "") & ~F.col("line").startswith("#")).select("path", (F.col("at") + 1).alias("line_no"), payload(F.col("line")))
+    read = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")
+    )
+    pieces = read.groupBy("path", "piece").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("piece")) - F.col("n")
+    filled = read.where((_trim(F.col("line")) != "") & ~F.col("line").startswith("#"))
+    number = (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("line_no")
+    return filled.join(pieces.select("path", "piece", "first", before.alias("before")), ["path", "piece"]).select("path", number, payload(F.col("line")))
 
 
 def corpus(spark: SparkSession, path: str, category: str, expect_injection: bool) -> DataFrame:

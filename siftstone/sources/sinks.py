@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +75,21 @@ def byte_class(byte: Column) -> Column:
     return found
 
 
+def byte_counts(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(byte, n): how often each byte occurs in all payloads, bytes as in ``byte_class``; counted batch by batch, without a row for each byte."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(0).cast(pa.large_binary()).drop_null()
+            _, offsets, values = data.buffers()
+            ends = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else [0, 0]
+            found = np.bincount(np.frombuffer(values, np.uint8)[ends[0] : ends[-1]], minlength=256) if values is not None else np.zeros(256, np.int64)
+            some = np.flatnonzero(found)
+            yield pa.record_batch([pa.array([f"{b:02X}" for b in some]), pa.array(found[some].astype(np.int64))], names=["byte", "n"])
+
+    return payloads.select(F.col(column).cast("binary")).mapInArrow(count, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
 def byte_rows(payloads: DataFrame, key: str, column: str = "payload") -> DataFrame:
     """(key, pos, byte, value, class): a row for each byte."""
     digits = F.hex(F.col(column).cast("binary"))

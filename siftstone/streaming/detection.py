@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions import columns
+from siftstone.functions.lexicon import Dictionary
 
 
-def detected(events: DataFrame, payload: str = "payload", dictionary: str | None = None) -> DataFrame:
+def detected(events: DataFrame, payload: str = "payload", dictionary: Dictionary | None = None) -> DataFrame:
     """``events`` with ``sqli`` and ``xss`` verdicts; works on a stream and on a table."""
     data = F.col(payload)
     return events.withColumn("sqli", columns.detect_sqli(data, 0, dictionary)).withColumn("xss", columns.detect_xss(data, dictionary))
