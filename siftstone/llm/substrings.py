@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm import _words
 from siftstone.llm._joins import dealt_anew
-from siftstone.llm._scratch import materialise, shuffles_end_with_the_write
+from siftstone.llm._scratch import discard, materialise, shuffles_end_with_the_write
 from siftstone.sources.shared import remove, scratch_path
 
 WINDOW = 50
@@ -304,7 +304,7 @@ class FingerprintIndex:
         )
         run = self._write(classes.where("not old").select(*(c.split()[0] for c in _RUN.split(", "))), "run", ("fingerprint",))
         repeated = classes.where("last > doc_id").select("context", F.col("doc_id").alias("least"), F.lit(None).cast("array<int>").alias("shifts"))
-        parted = self._parted(self._table(run), classes.where("old"), texts)
+        parted, used = self._parted(self._table(run), classes.where("old"), texts)
         found = repeated.unionByName(parted)
 
         # of a repeated class all windows go in all but its first document; there, those that an older one has
@@ -321,10 +321,15 @@ class FingerprintIndex:
         self.runs, self.texts = [*self.runs, (run, 0)], texts
         self.last_id = self.last_id if most is None else most
         self._commit()
-        return profiles.join(cut, ["doc_id", "own"], "left").select(
-            "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-            F.coalesce("kept_sha256", F.lower(F.hex("all_sha256"))).alias("kept_sha256"),
-        )
+        plain = F.lower(F.hex("all_sha256"))
+        joined = profiles.drop("entries").join(cut, ["doc_id", "own"], "left")
+        done = materialise(
+            joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", plain).alias("kept_sha256")),
+            "words",
+        )
+        for table in (profiles, classes, cut, *used, *([] if met is None else [met])):
+            discard(table)
+        return done
 
     def _met(self, entries: DataFrame) -> DataFrame | None:
         """What the runs have of the fingerprints of ``entries``."""
@@ -334,13 +339,16 @@ class FingerprintIndex:
             met = own if met is None else met.unionByName(own)
         return None if met is None else materialise(met, "met")
 
-    def _parted(self, run: DataFrame, old: DataFrame, texts: list[str]) -> DataFrame:
-        """(context, least, shifts): of a new class, whose first document is ``least``, the windows that an older document has in another class."""
+    def _parted(self, run: DataFrame, old: DataFrame, texts: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+        """(context, least, shifts): of a new class, whose first document is ``least``, the windows that an older document has in another class.
+
+        Also the tables that this is read from.
+        """
         known = old.select("fingerprint").distinct().withColumn("known", F.lit(True))
         shared = run.groupBy("fingerprint").agg(F.count("*").alias("n")).join(known, "fingerprint", "left").where("n > 1 or known").select("fingerprint")
         columns = ("doc_id", "own", "place", "first", "windows")
         mine = run.join(shared, "fingerprint", "left_semi").select(*columns, "context")
-        theirs = old.join(shared, "fingerprint", "left_semi").select(*columns, F.lit(None).cast("binary").alias("context"))
+        theirs = dealt_anew(old, shared, "fingerprint").select(*columns, F.lit(None).cast("binary").alias("context"))
         wanted = materialise(
             mine.unionByName(theirs).groupBy("doc_id", "own").agg(F.collect_set(F.struct("context", "place", "first", "windows")).alias("wanted")), "wanted"
         )
@@ -352,7 +360,7 @@ class FingerprintIndex:
         asked = materialise(asked, "windows")
         oldest = asked.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("digest", "a")
         covered = dealt_anew(asked.where("context is not null"), oldest, "digest").where("doc_id > a")
-        return covered.groupBy("context").agg(F.min("doc_id").alias("least"), F.collect_set("shift").alias("shifts"))
+        return covered.groupBy("context").agg(F.min("doc_id").alias("least"), F.collect_set("shift").alias("shifts")), [wanted, asked]
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
