@@ -71,6 +71,8 @@ class Permutation:
 def _cut(path: str, pattern: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = codec(path, pattern)
+        if len(tree.pieces) > 1 << 16 or any(tree.pieces[END_OF_TEXT : END_OF_TEXT + 1]):
+            raise ValueError(f"ids are 16 bits, and {END_OF_TEXT} must be free: it ends documents")
         task, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -111,8 +113,8 @@ def ordered_sequences(
     and the key alone, not on files or partitions.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # ranges of ids in the order of ids: numbers follow from a count for each task
-    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges in the order of ids and texts: numbers follow from a count for each task, and rows of one id can be several ranges
+    dealt = texts.repartitionByRange("doc_id", F.left("text", F.lit(64))).sortWithinPartitions("doc_id", "text")
     cut = materialise(
         dealt.mapInArrow(
             _cut(*(vocabulary or default_vocabulary()), length), "doc_id long, part int, n_tokens int, token_ids binary, task int, place long"
@@ -142,35 +144,43 @@ def ordered_sequences(
 _SHARD = "shard long, first_slot long, n_slots long, stride int, sha256 string, doc_ids array<long>, parts array<int>, n_tokens array<int>, data binary"
 
 
+def _shard(rows: pa.Table, number: int, length: int) -> pa.RecordBatch:
+    counts = rows["n_tokens"].to_numpy()
+    data = np.full((rows.num_rows, length), END_OF_TEXT, "<u2")
+    inside = np.arange(length) < counts[:, None]
+    data[inside] = np.frombuffer(b"".join(x.as_buffer() for x in rows["token_ids"]), "<u2")
+    raw = data.tobytes()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+    values = [number, rows["slot"][0].as_py(), rows.num_rows, 2 * length, hashlib.sha256(raw).hexdigest(), *(rows[c].to_pylist() for c in ("doc_id", "part", "n_tokens")), raw]
+    return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in _SHARD.split(", ")])
+
+
 def shards(sequences: DataFrame, length: int = SEQUENCE_TOKENS, rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard: the range of slots, what lies in each of them, and the shard's bytes at a fixed stride."""
-    stride = 2 * length
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
-        counts = table["n_tokens"].to_numpy()
-        data = np.full((table.num_rows, length), END_OF_TEXT, "<u2")
-        inside = np.arange(length) < counts[:, None]
-        data[inside] = np.frombuffer(b"".join(x.as_buffer() for x in table["token_ids"]), "<u2")
-        raw = data.tobytes()
-        one = lambda x: [x.to_pylist()]
-        return pa.table(
-            [
-                pa.array([table["shard"][0].as_py()], pa.int64()),
-                pa.array([table["slot"][0].as_py()], pa.int64()),
-                pa.array([table.num_rows], pa.int64()),
-                pa.array([stride], pa.int32()),
-                pa.array([hashlib.sha256(raw).hexdigest()]),
-                pa.array(one(table["doc_id"]), pa.list_(pa.int64())),
-                pa.array(one(table["part"]), pa.list_(pa.int32())),
-                pa.array(one(table["n_tokens"]), pa.list_(pa.int32())),
-                pa.array([raw], pa.binary()),
-            ],
-            names=[f.split()[0] for f in _SHARD.split(", ")],
-        )
+    """One row per shard: the range of slots, what lies in each of them, and the shard's bytes at a fixed stride.
+
+    Partitions are ranges of shards, so a task goes through its slots in order
+    and holds one shard at a time.  No sequences give no shard.  A null id or
+    text is in its slot like any other.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            numbers = table["shard"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), table.num_rows]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if held and held[0]["shard"][0].as_py() != int(numbers[a]):
+                    yield _shard(pa.concat_tables(held), held[0]["shard"][0].as_py(), length)
+                    held = []
+                held.append(table.slice(a, z - a))
+        if held:
+            yield _shard(pa.concat_tables(held), held[0]["shard"][0].as_py(), length)
 
     keyed = sequences.select(F.floor(F.col("slot") / rows).alias("shard"), "slot", "doc_id", "part", "n_tokens", "token_ids")
-    return keyed.groupBy("shard").applyInArrow(build, _SHARD)
+    return keyed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(build, _SHARD)
 
 
 def write_shards(built: DataFrame, uri: str) -> DataFrame:
@@ -184,7 +194,7 @@ def write_shards(built: DataFrame, uri: str) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, folder = fs.FileSystem.from_uri(uri)
+        system, folder = fs.FileSystem.from_uri(uri)  # a plain path is a local or mounted folder
         system.create_dir(folder, recursive=True)
         for batch in batches:
             for number, data in zip(batch.column("shard").to_pylist(), batch.column("data")):

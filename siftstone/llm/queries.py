@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm import bpe, decontaminate, langid, lm, minhash, oracles, order, quality, secrets, substrings, topk
+from siftstone.sources.shared import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.shards(order.ordered_sequences(_table(spark, sf_dir, "documents")))
+    return order.write_shards(order.shards(order.ordered_sequences(_table(spark, sf_dir, "documents"))), scratch_path(spark, "shards"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

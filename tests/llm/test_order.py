@@ -73,6 +73,43 @@ def test_shards_are_written_at_a_fixed_stride_and_read_from_any_slot(spark, tmp_
     built.unpersist()
 
 
+def test_rows_of_one_id_are_several_ranges(spark):
+    rows = [(7, f"text {i:03d} of one id") for i in range(200)] + [(None, f"{i} without") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs, rows)
+    placed = order.ordered_sequences(docs, length=64).select("number", "doc_id").collect()
+    assert sorted(r.number for r in placed) == list(range(250))
+    assert docs.repartitionByRange(8, "doc_id", docs.text.substr(1, 64)).rdd.glom().map(len).filter(lambda n: n > 0).count() > 3
+
+
+def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
+    import base64
+
+    for ranks in ({bytes([i]): i for i in range(256)} | {b"ab": 70_000}, {bytes([i]): i for i in range(256)} | {b"ab": order.END_OF_TEXT}):
+        path = tmp_path / f"{max(ranks.values())}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(p).decode()} {r}\n" for p, r in ranks.items()))
+        with pytest.raises(Exception, match="must be free"):
+            order.ordered_sequences(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), vocabulary=(str(path), bpe.default_vocabulary()[1])).collect()
+
+
+def test_the_query_writes_its_shards_and_reads_them_back(spark):
+    from siftstone.llm import queries
+
+    manifest = queries.op3_training_order(spark, "/root/testdata/sf0.001")
+    rows = sorted(manifest.collect(), key=lambda r: r.shard)
+    assert "data" not in manifest.columns and rows
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], order.SEQUENCE_TOKENS)
+    assert [d for r in rows for d in r.doc_ids] == [want[s][0] for s in range(len(want))]
+    assert [n for r in rows for n in r.n_tokens] == [len(want[s][2]) for s in range(len(want))]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b", 9, b"x"), (2, None, 9, b"y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int, token_ids binary")
+    check(docs, [r[:2] for r in rows])
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 5])
 def test_tiny_permutations(size):
     assert sorted(order.Permutation(size).slots(np.arange(size)).tolist()) == list(range(size))
