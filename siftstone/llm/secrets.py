@@ -28,8 +28,11 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("passw", "secret", "token", "api")
-#: Distinct owners from which on a value counts as an example; entropy in bits a character, and length, of a live-looking one.
-EXAMPLE_OWNERS = 3
+#: Distinct owners, and repositories of several owners, from which on a value counts as a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 5
+#: A live-looking value has one owner, who has it in so many repositories at most: a fixture is in more.
+LIVE_REPOSITORIES = 2
+#: Entropy in bits a character, and length, of a live-looking value.
 LIVE_BITS, LIVE_LENGTH = 2.5, 12
 
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])
@@ -89,7 +92,7 @@ def _joined(spans: Column) -> Column:
 
 
 def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """digest, n_repositories, n_owners of every candidate of ``found`` (repo, owner, candidates), and widely copied or not.
+    """digest, n_repositories, n_owners of every candidate of ``found`` (repo, owner, candidates), whether it is a widely copied example, and whether one owner's.
 
     Counting is in two steps, so a value that a third of all rows hold comes
     to a row for each repository and task before it is shuffled.
@@ -99,10 +102,29 @@ def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFra
         each.groupBy("digest", "owner", "repo").agg(F.lit(1).alias("one"))
         .groupBy("digest", "owner").agg(F.count("*").alias("repos"))
         .groupBy("digest").agg(F.sum("repos").alias("n_repositories"), F.count("*").alias("n_owners"))
-        .withColumn("example", F.col("n_owners") >= example_owners)
+        .withColumn("example", (F.col("n_owners") >= example_owners) | (F.col("n_owners") > 1) & (F.col("n_repositories") >= EXAMPLE_REPOSITORIES))
+        .withColumn("owned", (F.col("n_owners") == 1) & (F.col("n_repositories") <= LIVE_REPOSITORIES))
     )
 
 
+def _repository(docs: DataFrame, repo: Column | None, owner: Column | None) -> list[Column]:
+    """Repository and owner of each row: as given, else source with lang, and source; a missing column is null."""
+    own = lambda name: F.col(name) if name in docs.columns else F.lit(None).cast("string")
+    repo = F.concat_ws("/", own("source"), own("lang")) if repo is None else repo
+    owner = own("source") if owner is None else owner
+    return [F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in ((repo, "repo"), (owner, "owner"))]
+
+
+_FOUND = "base array<struct<start:int,rank:int,end:int>>, candidates array<struct<digest:binary,start:int,end:int,random:boolean>>"
+
+
+def _judged(found: DataFrame, example_owners: int) -> DataFrame:
+    """(row, added): the spans that the counts over all of ``found`` (row, repo, owner, candidates) add."""
+    each = dealt_anew(found.select("row", F.inline("candidates")), ownership(found, example_owners), "digest")
+    rank = F.when(F.col("example"), F.lit(4)).when(F.col("owned") & F.col("random"), F.lit(3))
+    return each.withColumn("rank", rank).where("rank is not null").groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -111,52 +133,29 @@ def scan(
     owner: Column | None = None,
     example_owners: int = EXAMPLE_OWNERS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, base and all spans (start, rank of kind, end), and counts by kind.
+    """One row per row of ``docs``: doc_id, base and all spans (start, rank of kind, end), and counts by kind.
 
     A null text is empty.  A null repository or owner is one of its own name,
     ''.  Repeated rows are scanned each for itself.  ``repo`` and ``owner``
-    default to source with lang, and source.
+    default to source with lang, and source, where there are such columns.
+    Other columns are not read; an empty table has no spans.
     """
-    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
-    owner = F.col("source") if owner is None else owner
-    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    kept = docs.select(
-        F.col(id_col).alias("doc_id"),
-        blank(repo).alias("repo"),
-        blank(owner).alias("owner"),
-        text_key(F.col(text_col)).alias("text_key"),
-        F.col(text_col).alias("text"),
-    )
+    kept = docs.select(F.col(id_col).alias("doc_id"), *_repository(docs, repo, owner), F.col(text_col).alias("text"))
     id_type = kept.schema["doc_id"].dataType.simpleString()
     found = materialise(
-        kept.mapInArrow(
-            _scan,
-            f"doc_id {id_type}, repo string, owner string, text_key string, base array<struct<start:int,rank:int,end:int>>,"
-            " candidates array<struct<digest:binary,start:int,end:int,random:boolean>>",
-        ).withColumn("row", F.monotonically_increasing_id()),
-        "candidates",
+        kept.mapInArrow(_scan, f"doc_id {id_type}, repo string, owner string, {_FOUND}").withColumn("row", F.monotonically_increasing_id()), "candidates"
     )
     with_some = found.where(F.size("candidates") > 0)
-    each = dealt_anew(with_some.select("row", F.inline("candidates")), ownership(with_some, example_owners), "digest")
-    judged = each.withColumn(
-        "rank", F.when(F.col("example"), F.lit(4)).when((F.col("n_owners") == 1) & F.col("random"), F.lit(3))
-    ).where("rank is not null")
-    added = judged.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end")).alias("added"))
-    some = with_some.join(added, "row", "left").withColumn(
+    some = with_some.join(_judged(with_some, example_owners), "row", "left").withColumn(
         "spans", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))
     )
-    out = some.select("doc_id", "text_key", "base", "spans").unionByName(
-        found.where(F.size("candidates") == 0).select("doc_id", "text_key", "base", F.col("base").alias("spans"))
+    out = some.select("doc_id", "base", "spans").unionByName(
+        found.where(F.size("candidates") == 0).select("doc_id", "base", F.col("base").alias("spans"))
     )
     counted = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return out.withColumns({f"n_{kind}": counted(i) for i, kind in enumerate(KINDS[:3])})
 
 
-def text_key(text: Column) -> Column:
-    """A digest by which equal texts meet."""
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document."""
     return scan(docs).select(
@@ -164,39 +163,69 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def _split_off(with_spans: bool, text: str):
+    """Rows whose text has a base span, with their spans and candidates; or the other rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            has = np.array([bool(t) and bool(base_spans(t)) for first in range(0, batch.num_rows, 512) for t in batch.column(at).slice(first, 512).to_pylist()], bool)
+            part = batch.filter(pa.array(has == with_spans))
+            if with_spans and part.num_rows:
+                spans = next(_scan(iter([pa.record_batch([part.column(at)], names=["text"])])))
+                part = pa.record_batch([*part.columns, *spans.columns], names=[*part.schema.names, "base", "candidates"])
+            if part.num_rows:
+                yield part
+
+    return run
+
+
+def _hidden(text: str, spans: list[dict], mark: str) -> str:
+    """The text with each span replaced by the mark; one that begins within a hidden one adds only its rest."""
+    done, at = [], 0
+    for span in sorted(spans, key=lambda s: (s["start"], s["rank"], s["end"])):
+        if span["start"] >= at:
+            done += [text[at : span["start"]], mark]
+        at = max(at, span["end"])
+    return "".join([*done, text[at:]])
+
+
 def redact(
     docs: DataFrame, text_col: str = "text", mark: str = "[secret]", example_owners: int = EXAMPLE_OWNERS, length_col: str | None = None
 ) -> DataFrame:
     """``docs`` with each base or live span that is not a widely copied example replaced by ``mark``.
 
-    Columns and rows stay as they are, and so does a text without such spans;
-    ``length_col``, if given, gets the new length of a text that has changed.
+    Columns and rows stay as they are, and so does a text without such spans,
+    which is passed on where it is read; ``length_col``, if given, gets the new
+    length of a text that has changed.  A null text stays null, repeated rows
+    stay repeated, and an empty table stays empty.
     """
-    spans = scan(docs, text_col=text_col, example_owners=example_owners)
-    example = F.filter("spans", lambda s: s["rank"] == 4)
-    exempt = lambda s: F.exists(example, lambda x: (x["start"] >= s["start"]) & (x["end"] <= s["end"]))
-    hidden = (
-        spans.where(F.size("base") > 0)
-        .withColumn("hide", F.array_sort(F.filter("spans", lambda s: (s["rank"] != 4) & ~exempt(s))))
-        .where(F.size("hide") > 0)
-        .select(F.col("text_key").alias("__text_key"), F.col("hide").alias("__hide"))
-        .dropDuplicates(["__text_key"])
+    names = docs.columns
+    text = f"c{names.index(text_col)}"
+    named = docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
+    plain = named.mapInArrow(_split_off(False, text), fields)
+    with_owner = docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), *_repository(docs, None, None))
+    found = materialise(
+        with_owner.mapInArrow(_split_off(True, text), f"{fields}, repo string, owner string, {_FOUND}").withColumn("row", F.monotonically_increasing_id()), "candidates"
     )
-    # from left to right; a span that begins within one that is hidden already adds only its rest
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def hide(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["done"], before, F.lit(mark))).otherwise(acc["done"]).alias("done"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
 
-    rest = lambda acc: F.concat(acc["done"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1)))
-    joined = docs.join(hidden, text_key(F.col(text_col)) == F.col("__text_key"), "left")
-    clean = F.when(F.col("__hide").isNull(), F.col(text_col)).otherwise(F.aggregate("__hide", start, hide, rest))
-    out = joined.withColumn(text_col, clean)
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            added = batch.column(batch.schema.get_field_index("added"))
+            out = []
+            for value, base, more in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("base")).to_pylist(), added.to_pylist()):
+                examples = [s for s in more or [] if s["rank"] == 4]
+                spans = [s for s in base + [s for s in more or [] if s["rank"] != 4] if not any(x["start"] >= s["start"] and x["end"] <= s["end"] for x in examples)]
+                out.append(_hidden(value, spans, mark))
+            columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
+            changed = pa.array([a != b for a, b in zip(out, batch.column(at).to_pylist())], pa.bool_())
+            yield pa.record_batch([*columns, changed], names=[*batch.schema.names[: len(names)], "changed"])
+
+    own = [f"c{i}" for i in range(len(names))]
+    done = found.join(_judged(found, example_owners), "row", "left").select(*own, "base", "added").mapInArrow(hide, f"{fields}, changed boolean")
     if length_col:
-        length = F.length(text_col).cast(docs.schema[length_col].dataType)
-        out = out.withColumn(length_col, F.when(F.col("__hide").isNull(), F.col(length_col)).otherwise(length))
-    return out.select(*docs.columns)
+        length = f"c{names.index(length_col)}"
+        done = done.withColumn(length, F.when(F.col("changed"), F.length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col(length)))
+    return plain.unionByName(done.select(*own)).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from siftstone.llm import secrets
@@ -62,6 +63,53 @@ def test_widely_copied_values_are_examples_and_owned_ones_live(spark):
     assert hidden[99] == "[secret]" and hidden[0] == f"token={shared}"
 
 
+def judged(rows):
+    """Live and example spans by counting plainly: (doc_id, kind, start, end)."""
+    values, spans = {}, []
+    for d, text, lang, source in rows:
+        for m in ASSIGN.finditer(text or ""):
+            if len(m[2]) >= 6:
+                spans.append((d, m.start(2), m.end(2), m[2], "/".join(x for x in (source, lang) if x is not None), source or ""))
+        for m in [*ACCESS.finditer(text or ""), *HEX.finditer(text or "")]:
+            if len(m[0]) >= (20 if m[0].startswith("AKIA") else 24):
+                spans.append((d, m.start(), m.end(), m[0], "/".join(x for x in (source, lang) if x is not None), source or ""))
+    for _, _, _, value, repo, owner in spans:
+        values.setdefault(value, set()).add((repo, owner))
+    out = set()
+    for d, start, end, value, _, _ in spans:
+        owners, repos = len({o for _, o in values[value]}), len(values[value])
+        bits = -sum(value.count(c) / len(value) * math.log2(value.count(c) / len(value)) for c in set(value))
+        if owners >= 3 or owners > 1 and repos >= 5:
+            out.add((d, "example", start, end))
+        elif owners == 1 and repos <= 2 and len(value) >= 12 and bits >= 2.5:
+            out.add((d, "live", start, end))
+    return out
+
+
+def added(got):
+    found = [(r.doc_id, *s.split(":")) for r in got for s in r.spans.split(",") if s]
+    return {(d, k, int(s), int(e)) for d, k, s, e in found if k in ("live", "example")}
+
+
+def test_live_and_example_spans_against_plain_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    assert added(secrets.digests(docs).collect()) == judged([tuple(r) for r in docs.collect()])
+    value = "Zk81Mq0pLx27Vt"
+    for places in ([("a", "en")], [("a", "en"), ("a", "de")], [("a", x) for x in ("en", "de", "fr")], [("a", "en"), ("b", "de")], [(s, x) for s in "ab" for x in ("en", "de", "fr")], [(s, None) for s in "abc"]):
+        rows = [(i, f"token={value}", lang, source) for i, (source, lang) in enumerate(places)]
+        assert added(secrets.digests(frame(spark, rows)).collect()) == judged(rows), places
+
+
+def test_a_text_of_very_many_secrets_and_tables_without_owners(spark):
+    text = " ".join(f"token=Zk81Mq0pLx27Vt{i:06d}" for i in range(30_000))
+    rows = [(1, text, "en", "a"), (2, "x", "en", "a")]
+    got = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert got == {1: " ".join(["[secret]"] * 30_000), 2: "x"}
+    bare = spark.createDataFrame([(1, f"password={HEXA}", 1.5), (2, None, 2.5)], "doc_id long, text string, `a.b` double")
+    assert sorted(map(tuple, secrets.redact(bare).collect())) == [(1, "[secret]", 1.5), (2, None, 2.5)]
+    assert secrets.redact(bare.limit(0)).collect() == [] and secrets.digests(bare).count() == 2
+
+
 def test_redaction_keeps_rows_and_the_rest_of_the_text(spark):
     rows = [(1, f"keep {KEY} this é {HEXA}.", "en", "a"), (2, None, "en", "a"), (3, "plain", "en", "a"), (3, "plain", "en", "a")]
     got = sorted(map(tuple, secrets.redact(frame(spark, rows)).collect()), key=lambda r: r[0])
