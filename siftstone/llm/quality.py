@@ -22,6 +22,8 @@ FOLDS, HELD_OUT_FOLD = 3, 1
 #: Labelled rows that are learned from, at most about this many in all; half builds dictionaries, half fits the curve.
 SAMPLE_ROWS = 4000
 DICTIONARY_BYTES = 64 << 10
+#: Characters of a labelled text that are learned from; whole texts are scored.
+SAMPLE_CHARS = 16_384
 LEVEL = 3
 
 
@@ -99,11 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, fold: int = HE
 
     The labels are sampled first, so what is sent to the documents' tasks is
     bounded by ``sample_rows``.  Labels other than 0 and 1, and null ones, are
-    left out; of several labels of an id each counts.
+    left out; of several labels of an id each counts once, and of several rows
+    of an id the least text.  What comes to the driver is bounded too: the first
+    SAMPLE_CHARS characters of each text.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
-    chosen = balanced(known.where(~held_out(F.col("doc_id"), folds, fold)), "quality", "doc_id", sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
+    chosen = balanced(known.distinct().where(~held_out(F.col("doc_id"), folds, fold)), "quality", "doc_id", sample_rows)
+    texts = docs.select("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality").collect()
     rows = sorted(((r[1] or "").encode(), r[2], r[0]) for r in rows)
     rows.sort(key=lambda r: (r[2] * 0x9E3779B1 & 0xFFFFFFFF, r[0], r[1]))
     return fit([(text, y) for text, y, _ in rows])
