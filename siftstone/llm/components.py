@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm._joins import dealt_anew
-from siftstone.llm._scratch import materialise
+from siftstone.llm._scratch import discard, materialise
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -37,10 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
     table.  Each round is written to the shared folder; the number of rounds
     grows with the logarithm of the longest path.
     """
-    edges = edges.where("a <> b").select("a", "b")
+    edges, last = edges.where("a <> b").select("a", "b"), None
     before = None
     while True:
         edges = materialise(_small_star(_large_star(edges)), "stars")
+        if last is not None:
+            discard(last)
+        last = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
