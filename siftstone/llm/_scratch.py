@@ -26,7 +26,7 @@ def shuffles_end_with_the_write(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_SHUFFLE_CLEANUP, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The result no longer depends on earlier shuffles, so a lost executor costs
@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with shuffles_end_with_the_write(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table

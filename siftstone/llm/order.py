@@ -28,6 +28,8 @@ SEQUENCE_TOKENS = 512
 SHARD_ROWS = 2048
 KEY = 20240607
 ROUNDS = 6
+#: Ranges of shards that are written one after the other.
+PASSES = 3
 #: The id that ends a document and fills its last sequence; the vocabulary leaves it free.
 END_OF_TEXT = 50256
 
@@ -120,6 +122,7 @@ def ordered_sequences(
             _cut(*(vocabulary or default_vocabulary()), length), "doc_id long, part int, n_tokens int, token_ids binary, task int, place long"
         ),
         "sequences",
+        compression="zstd",
     )
     counts = sorted((r[0], r[1]) for r in cut.groupBy("task").count().collect())  # a row for each task
     starts, total = {}, 0
@@ -208,6 +211,24 @@ def write_shards(built: DataFrame, uri: str) -> DataFrame:
     return built.mapInArrow(put, _SHARD.removesuffix(", data binary"))
 
 
+def write_order(sequences: DataFrame, uri: str, length: int = SEQUENCE_TOKENS, rows: int = SHARD_ROWS, passes: int = PASSES) -> DataFrame:
+    """Write all shards of ``sequences`` to ``uri``, a range of shards in each pass, and return their manifest.
+
+    A pass shuffles its own sequences alone, so the disk that a shuffle takes
+    is a part of the corpus.  Run again after a break, it finds the files that
+    are there.
+    """
+    count = -(-sequences.count() // rows)
+    manifest = None
+    for p in range(passes):
+        low, high = (count * x // passes * rows for x in (p, p + 1))
+        if low < high:
+            part = sequences.where((F.col("slot") >= low) & (F.col("slot") < high))
+            written = materialise(write_shards(shards(part, length, rows), uri), "manifest")
+            manifest = written if manifest is None else manifest.unionByName(written)
+    return sequences.sparkSession.createDataFrame([], _SHARD.removesuffix(", data binary")) if manifest is None else manifest
+
+
 def read_slots(uri: str, first: int, count: int, length: int = SEQUENCE_TOKENS, rows: int = SHARD_ROWS) -> np.ndarray:
     """The sequences of ``count`` slots from ``first`` on, a row each, read at their offsets."""
     from pyarrow import fs

@@ -22,7 +22,7 @@ def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.write_shards(order.shards(order.ordered_sequences(_table(spark, sf_dir, "documents"))), scratch_path(spark, "shards"))
+    return order.write_order(order.ordered_sequences(_table(spark, sf_dir, "documents")), scratch_path(spark, "shards"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,11 @@ def test_shards_are_written_at_a_fixed_stride_and_read_from_any_slot(spark, tmp_
             assert row == ids + [order.END_OF_TEXT] * (64 - len(ids))
     assert len(list((tmp_path / "shards").iterdir())) == len(manifest)
     built.unpersist()
+    (tmp_path / "shards" / "shard-00000001.bin").unlink()  # as if a run had been broken off
+    again = order.write_order(order.ordered_sequences(docs, length=64), uri, 64, 32)
+    assert sorted(map(tuple, again.drop("stride").collect())) == sorted(tuple(r) for r in [[r[c] for c in again.columns if c != "stride"] for r in manifest])
+    assert len(list((tmp_path / "shards").iterdir())) == len(manifest)
+    assert order.write_order(order.ordered_sequences(docs.limit(0)), uri).collect() == []
 
 
 def test_rows_of_one_id_are_several_ranges(spark):
