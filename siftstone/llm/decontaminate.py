@@ -1,8 +1,10 @@
 """Benchmark passages in documents, by CGK embedding, bit sampling and edit distance.
 
 Words are lower-cased runs of ASCII letters and digits and of all characters
-beyond ASCII.  A passage of a document matches an item of m words if its words
-are within floor(m / 4) edits of the item's.
+beyond ASCII; each character from U+3000 to U+9FFF is a word of its own, as
+scripts there have no spaces.  A passage of a document matches an item of m
+words if its words are within floor(m / 4) edits of the item's; an item under
+SHORT_WORDS words only if it is there word for word.
 
 * Windows.  Cut an item's words into one piece more than the edits allowed: a
   matching passage has at least one piece unchanged.  So each place where a
@@ -26,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,25 +36,36 @@ from siftstone.llm import _words
 
 #: Hundredths of an item's words that may be edited.
 EDITS = 25
-#: Items with fewer words are no passages, and are not looked for.
-LEAST_WORDS = 8
+#: Items with fewer words are found word for word only: an edit more would find them in plain text.
+SHORT_WORDS = 8
 SAMPLED, TABLES = 2, 96
 #: Agreement at which the tables reach the target recall: (1 - 0.22**2)**96 = 0.9 %.
 MEETING, RECALL = 0.22, 0.99
-#: Words of items that are sent to all tasks at once, about 32 MB; more items are looked for in several passes.
-ITEM_WORDS = 1 << 22
+#: Bytes of items that are sent to all tasks at once, their words, pieces and tables; more items are looked for in several passes.
+PASS_BYTES = 32 << 20
 WALKS = 4
 #: Windows begin at every STEP-th shift around a piece.
 STEP = 2
-#: Windows whose walks are held at once.
-_WINDOWS = 4096
+#: Words of windows whose walks are held at once.
+_WINDOW_WORDS = 1 << 18
 
 _U = np.uint64
 
 
 def _split(data: np.ndarray, offsets: np.ndarray) -> _words.Words:
-    """Words of letters and digits: all ASCII marks count as space."""
-    return _words.split_words(_BLANKED[data], offsets)
+    """Words of letters and digits: all ASCII marks count as space, and a character of a script without spaces is a word."""
+    words = _words.split_words(_BLANKED[data], offsets)
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))  # the first bytes of U+3000 to U+9FFF in UTF-8
+    if not len(lead):
+        return words
+    starts = np.union1d(words.starts, lead)
+    # what follows such a character, within the same run, is the next word
+    after = lead + 3
+    run = np.searchsorted(words.starts, lead, side="right") - 1
+    starts = np.union1d(starts, after[after < words.ends[run]])
+    run = np.searchsorted(words.starts, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], len(data)), words.ends[run])
+    return _words.Words(words.data, starts, ends, np.searchsorted(starts, offsets))
 
 
 _BLANKED = np.arange(256, dtype=np.uint8)
@@ -59,7 +73,12 @@ _BLANKED[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 
 
 def _edits(words: int) -> int:
-    return words * EDITS // 100
+    return words * EDITS // 100 if words >= SHORT_WORDS else 0
+
+
+def _bytes(words: int) -> int:
+    """What an item takes in a pass: its words, its pieces, and a key and an owner in each table."""
+    return 8 * words + 32 * (_edits(words) + 1) + 12 * TABLES
 
 
 @dataclass
@@ -74,34 +93,43 @@ class Items:
         for i, words in enumerate(self.words):
             size, pieces = len(words), _edits(len(words)) + 1
             length = size // pieces
-            for j in range(pieces):
-                keys.append(_words.hash_runs(words[j * length : (j + 1) * length], length, seed=8)[0])
-                spots.append((i, j * length, length))
+            found = _words.hash_runs(words, length, seed=8)[: pieces * length : length]
+            keys += found.tolist()
+            spots += [(i, j * length, length) for j in range(pieces)]
         order = np.argsort(np.array(keys, _U), kind="stable")
         self.keys = np.array(keys, _U)[order]
         self.spots = np.array(spots, np.int64).reshape(-1, 3)[order]
         self.lengths = sorted({s[2] for s in spots})
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.edits = self.sizes * EDITS // 100
+        self.edits = np.array([_edits(len(w)) for w in self.words], np.int64)
         #: Table keys of all items, rising, and the item of each.
-        found = table_keys(np.stack([np.pad(w, (0, int(self.sizes.max()) - len(w))) for w in self.words]), self.sizes)
-        owner = np.repeat(np.arange(len(self.words)), found.shape[1])
-        order = np.argsort(found.ravel(), kind="stable")
-        self.table, self.owner = found.ravel()[order], owner[order]
-
-
-def _walk(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """CGK outputs, twice as many places as the longest window has words; beyond a window's end all places are padding."""
-    count, longest = windows.shape
+        keys, owners = [], []
+        for size in np.unique(self.sizes).tolist():
+            of = np.flatnonzero(self.sizes == size)
+            step = max(1, _WINDOW_WORDS // size)
+            for at in range(0, len(of), step):
+                found = table_keys(np.stack([self.words[i] for i in of[at : at + step]]))
+                keys.append(found.ravel())
+                owners.append(np.repeat(of[at : at + step], found.shape[1]))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        self.table, self.owner = keys[order], owners[order].astype(np.int32)
+
+
+def _walk(windows: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
+    """CGK outputs of windows of one size at ``places`` (rising); an output has twice as many places as a window has words, padding beyond its end."""
+    count, size = windows.shape
     padded = np.concatenate([windows, np.zeros((count, 1), _U)], axis=1)
     at = np.zeros(count, np.int64)
-    out = np.empty((2 * longest, count), _U)
-    rows = np.arange(count)
-    for t in range(2 * longest):
+    out = np.empty((len(places), count), _U)
+    rows, found = np.arange(count), 0
+    for t in range(int(places[-1]) + 1):
         word = padded[rows, at]
-        out[t] = word
+        if places[found] == t:
+            out[found] = word
+            found += 1
         move = (_words.mix(word + _U(0x9E3779B97F4A7C15 * (seed * 4096 + t + 1) % (1 << 64))) >> _U(63)).astype(np.int64)
-        at = np.minimum(at + move, sizes)
+        at = np.minimum(at + move, size)
     return out
 
 
@@ -112,17 +140,18 @@ def _sampled(size: int, walk: int) -> np.ndarray:
     return np.sort(chosen, axis=1)
 
 
-def table_keys(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A key for each window and table; windows are padded with 0 to the longest and differ in size."""
-    known, which = np.unique(sizes, return_inverse=True)
-    rows = np.arange(len(windows))[:, None]
+def table_keys(windows: np.ndarray) -> np.ndarray:
+    """A key for each of the windows, which are of one size, and table."""
+    size = windows.shape[1]
     keys = []
     for walk in range(WALKS):
-        out = _walk(windows, sizes, walk + 1)
-        places = np.stack([_sampled(int(size), walk) for size in known])[which]
-        key = sizes.astype(_U)[:, None] * _U(1000) + np.arange(walk * 100 + 1, walk * 100 + 1 + places.shape[1], dtype=_U)
+        sampled = _sampled(size, walk)
+        places, which = np.unique(sampled, return_inverse=True)
+        out, which = _walk(windows, walk + 1, places), which.reshape(sampled.shape)
+        tables = np.arange(walk * 100 + 1, walk * 100 + 1 + len(sampled), dtype=_U)
+        key = np.broadcast_to(tables + _U(size * 1000), (len(windows), len(sampled)))
         for j in range(SAMPLED):
-            key = _words.mix(key * _U(0x9E3779B97F4A7C15) + out[places[:, :, j], rows])
+            key = _words.mix(key * _U(0x9E3779B97F4A7C15) + out[which[:, j]].T)
         keys.append(key)
     return np.concatenate(keys, axis=1)
 
@@ -179,20 +208,22 @@ def _meetings(hashes: np.ndarray, bounds: np.ndarray, proposed: np.ndarray, item
     """Distinct rows (document, item, first word) of windows and items that meet in some table."""
     # a window is looked at once, whichever items of its size propose it
     windows = np.unique(np.stack([items.sizes[proposed[:, 0]], proposed[:, 1], proposed[:, 2]], axis=1), axis=0)
-    longest = int(items.sizes.max())
-    padded = np.concatenate([hashes, np.zeros(longest, _U)])
+    edges = np.flatnonzero(np.diff(windows[:, 0], prepend=-1, append=-1))
     met = []
-    for at in range(0, len(windows), _WINDOWS):
-        size, document, first = windows[at : at + _WINDOWS].T
-        place = first[:, None] + np.arange(longest)
-        words = np.where((np.arange(longest) < size[:, None]) & (place < bounds[document + 1][:, None]), padded[place], _U(0))
-        keys = table_keys(words, size).ravel()
-        low, high = np.searchsorted(items.table, keys, "left"), np.searchsorted(items.table, keys, "right")
-        hit = np.flatnonzero(high > low)
-        count = (high - low)[hit]
-        spot = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        window = np.repeat(hit // (len(keys) // len(size)), count)
-        met.append(np.unique(np.stack([document[window], items.owner[spot], first[window]], axis=1), axis=0))
+    for low, high in zip(edges, edges[1:]):
+        size = int(windows[low, 0])
+        padded = np.concatenate([hashes, np.zeros(size, _U)])
+        step = max(1, _WINDOW_WORDS // size)
+        for at in range(low, high, step):
+            _, document, first = windows[at : min(high, at + step)].T
+            place = first[:, None] + np.arange(size)
+            keys = table_keys(np.where(place < bounds[document + 1][:, None], padded[place], _U(0))).ravel()
+            left, right = np.searchsorted(items.table, keys, "left"), np.searchsorted(items.table, keys, "right")
+            hit = np.flatnonzero(right > left)
+            count = (right - left)[hit]
+            spot = np.repeat(left[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            window = np.repeat(hit // (len(keys) // len(document)), count)
+            met.append(np.unique(np.stack([document[window], items.owner[spot].astype(np.int64), first[window]], axis=1), axis=0))
     return np.concatenate(met) if met else np.zeros((0, 3), np.int64)
 
 
@@ -242,8 +273,12 @@ def _in_batch(batch: pa.RecordBatch, items: Items, exact: bool) -> Iterator[tupl
             yield first + document, *match
 
 
-def _matches(items: Items, exact: bool):
+_FOUND = ("item_id", "item_words", "edits", "first_word", "end_word")
+
+
+def _matches(sent, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sent.value
         for batch in batches:
             rows = [(i, items.ids[k], len(items.words[k]), *m) for i, k, *m in _in_batch(batch, items, exact)]
             if rows:
@@ -251,14 +286,15 @@ def _matches(items: Items, exact: bool):
                 text = batch.schema.get_field_index("__text")
                 kept = [c.take(pa.array(columns[0], pa.int64())) for j, c in enumerate(batch.columns) if j != text]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                names = [n for n in batch.schema.names if n != "__text"] + ["item_id", "item_words", "edits", "first_word", "end_word"]
+                names = [n for n in batch.schema.names if n != "__text"] + [f"__{n}" for n in _FOUND]
                 yield pa.record_batch([*kept, *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], names=names)
 
     return run
 
 
-def _without(items: Items):
+def _without(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sent.value
         for batch in batches:
             stays = np.ones(batch.num_rows, bool)
             stays[[m[0] for m in _in_batch(batch, items, False)]] = False
@@ -267,22 +303,24 @@ def _without(items: Items):
     return run
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
-    """Items in passes of at most ITEM_WORDS words; the table is read a partition at a time."""
+def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Broadcast]:
+    """Items, sent to all executors in passes of at most PASS_BYTES (or one item); the table is read a partition at a time."""
+    send = benchmark.sparkSession.sparkContext.broadcast
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     ids, words, held = [], [], 0
-    for row in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
+    for row in rows.orderBy("i", "t").toLocalIterator():
         data, offsets = _words.flat(pa.array([row[1]], pa.string()))
         own = _words.hash_words(_split(data, offsets), lower=True)
-        if len(own) < LEAST_WORDS:
+        if not len(own):
             continue
-        if ids and held + len(own) > ITEM_WORDS:
-            yield Items(ids, words)
+        if ids and held + _bytes(len(own)) > PASS_BYTES:
+            yield send(Items(ids, words))
             ids, words, held = [], [], 0
         ids.append(row[0])
         words.append(own)
-        held += len(own)
+        held += _bytes(len(own))
     if ids:
-        yield Items(ids, words)
+        yield send(Items(ids, words))
 
 
 def contaminated(
@@ -296,18 +334,24 @@ def contaminated(
 ) -> DataFrame:
     """A row for each document and item found in it: ``keep``, item_id, item_words, edits, first_word and end_word.
 
-    The passage with the fewest edits is given, in words of this module.  A
-    null or short text has no passage; null items and items under LEAST_WORDS
-    words are not looked for.  ``exact`` verifies every proposed window.
+    The passage with the fewest edits is given, of several the first, in words
+    of this module.  A null text or one without a word has no passage; null
+    items, items without a word and those whose id is no whole number are not
+    looked for.  Repeated rows are found each for itself, repeated items once;
+    different texts of one item_id are items of their own.  ``exact`` verifies
+    every proposed window.  A column of ``keep`` that is named like one of the
+    result's comes first, and so twice.
     """
-    kept = docs.select(*keep, F.col(text_col).alias("__text")).where("__text is not null")
+    names = [f"c{i}" for i in range(len(keep))]
+    kept = docs.select(*(F.col(f"`{n}`").alias(c) for n, c in zip(keep, names)), F.col(text_col).alias("__text")).where("__text is not null")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
-    schema = ", ".join([*fields, "item_id long, item_words int, edits int, first_word int, end_word int"])
+    schema = ", ".join([*fields, *(f"__{n} {'long' if n == 'item_id' else 'int'}" for n in _FOUND)])
     found = None
     for items in _passes(benchmark, item_id, item_text):
         part = kept.mapInArrow(_matches(items, exact), schema)
         found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    found = docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return found.select(*(F.col(c).alias(n) for n, c in zip(keep, names)), *(F.col(f"__{n}").alias(n) for n in _FOUND))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

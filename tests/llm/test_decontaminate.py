@@ -9,8 +9,8 @@ from siftstone.llm import decontaminate
 
 
 def words(text):
-    """ASCII letters and digits, small, and all beyond ASCII."""
-    return re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    """ASCII letters and digits, small, and all beyond ASCII; from U+3000 to U+9FFF each character."""
+    return re.findall(r"[\u3000-\u9fff]|(?:[a-z0-9]|[^\x00-\x7f\u3000-\u9fff])+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
 def nearest(item, doc):
@@ -30,9 +30,9 @@ def brute(docs, items):
         own = words(text)
         for i, t in items:
             item = words(t)
-            if len(item) >= decontaminate.LEAST_WORDS:
+            if item:
                 edits = nearest(item, own)
-                if edits <= len(item) * decontaminate.EDITS // 100:
+                if edits <= (len(item) * decontaminate.EDITS // 100 if len(item) >= 8 else 0):
                     out[d, i] = edits
     return out
 
@@ -84,7 +84,7 @@ def test_edge_cases(spark):
     item = "one two three four five six seven eight nine ten"
     docs = [(1, None), (2, ""), (3, item), (3, item), (4, "x " + item.upper().replace(" ", ", ") + " y"), (None, item), (5, "the " * 50_000 + item)]
     got = decontaminate.contaminated(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, None), (3, "short one"), (None, item)], "item_id long, text string")
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, None), (3, "short one"), (None, item), (4, "!?")], "item_id long, text string")
     ).collect()
     assert sorted(((r.doc_id, r.item_id, r.edits) for r in got), key=str) == sorted([(3, 1, 0), (3, 1, 0), (4, 1, 0), (None, 1, 0), (5, 1, 0)], key=str)
     assert run(spark, docs, []) == {} and run(spark, [], [(1, item)]) == {}
@@ -96,10 +96,55 @@ def test_edge_cases(spark):
 def test_items_in_several_passes(spark, monkeypatch):
     docs, items = planted(2, lambda rng, n: 0)
     whole = run(spark, docs, items)
-    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 200)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 4000)
     assert run(spark, docs, items) == whole
 
 
+def test_recall_on_all_documents_and_items(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    every = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(docs, items, exact=True).collect()}
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(docs, items).collect()}
+    assert every and set(got) <= set(every)
+    for edits in set(every.values()):
+        of = [k for k, e in every.items() if e == edits]
+        assert sum(k in got for k in of) >= 0.9 * len(of), edits
+
+
+def test_recall_by_edits_on_planted_passages(spark):
+    docs, items = planted(7, lambda rng, n: n // 4)  # all at the limit
+    every, got = run(spark, docs, items, exact=True), run(spark, docs, items)
+    assert len(every) > 40 and set(got) <= set(every) and len(got) >= 0.9 * len(every)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(40))
+    items = [(1, "to be or not"), (2, "Yes"), (3, han), (4, "one two three four five six seven"), (5, "カタカナ abc 漢字")]
+    docs = [(1, "He said: to be, or not!"), (2, "to be or knot"), (3, "yes."), (4, "前" + han + "後"), (5, han[:18] + "改" + han[19:]), (6, han[::-1])]
+    docs += [(7, "one two three four five six seven"), (8, "one two three for five six seven"), (9, "xカタカナ abc漢字"), (10, "カタ ABC 漢字")]
+    want = brute(docs, items)
+    assert {(1, 1), (3, 2), (4, 3), (5, 3), (7, 4), (9, 5)} == set(want)
+    assert run(spark, docs, items) == want
+
+
+def test_items_of_very_different_lengths_take_bounded_memory(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(20_000))
+    items = [(0, long)] + [(i, " ".join(f"s{i}x{j}" for j in range(10))) for i in range(1, 400)]
+    docs = [(1, "head " + long + " tail"), (2, items[7][1]), (3, "nothing here")]
+    assert run(spark, docs, items) == {(1, 0): 0, (2, 7): 0}
+
+
+def test_clashing_names_repeated_items_and_ties(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, item + " x " + item, 5)], "doc_id long, text string, edits int")
+    items = spark.createDataFrame([(1, item), (1, item), (1, item + " eleven")], "item_id int, text string")
+    got = decontaminate.contaminated(docs, items, keep=("doc_id", "edits"))
+    assert got.columns == ["doc_id", "edits", "item_id", "item_words", "edits", "first_word", "end_word"]
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 1, 10, 0, 0, 10), (1, 5, 1, 11, 1, 0, 10)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(1, 4), max_size=20))
 def test_best_passage(item, doc):
