@@ -104,32 +104,28 @@ class Items:
         self.edits = np.array([_edits(len(w)) for w in self.words], np.int64)
         #: Table keys of all items, rising, and the item of each.
         keys, owners = [], []
-        for size in np.unique(self.sizes).tolist():
-            of = np.flatnonzero(self.sizes == size)
-            step = max(1, _WINDOW_WORDS // size)
-            for at in range(0, len(of), step):
-                found = table_keys(np.stack([self.words[i] for i in of[at : at + step]]))
-                keys.append(found.ravel())
-                owners.append(np.repeat(of[at : at + step], found.shape[1]))
+        for of in _alike(self.sizes):
+            longest = int(self.sizes[of].max())
+            found = table_keys(np.stack([np.pad(self.words[i], (0, longest - len(self.words[i]))) for i in of]), self.sizes[of])
+            keys.append(found.ravel())
+            owners.append(np.repeat(of, found.shape[1]))
         keys, owners = np.concatenate(keys), np.concatenate(owners)
         order = np.argsort(keys, kind="stable")
         self.table, self.owner = keys[order], owners[order].astype(np.int32)
 
 
-def _walk(windows: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
-    """CGK outputs of windows of one size at ``places`` (rising); an output has twice as many places as a window has words, padding beyond its end."""
-    count, size = windows.shape
+def _walk(windows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """CGK outputs, twice as many places as the longest window has words; beyond a window's end all places are padding."""
+    count, longest = windows.shape
     padded = np.concatenate([windows, np.zeros((count, 1), _U)], axis=1)
     at = np.zeros(count, np.int64)
-    out = np.empty((len(places), count), _U)
-    rows, found = np.arange(count), 0
-    for t in range(int(places[-1]) + 1):
+    out = np.empty((2 * longest, count), _U)
+    rows = np.arange(count)
+    for t in range(2 * longest):
         word = padded[rows, at]
-        if places[found] == t:
-            out[found] = word
-            found += 1
+        out[t] = word
         move = (_words.mix(word + _U(0x9E3779B97F4A7C15 * (seed * 4096 + t + 1) % (1 << 64))) >> _U(63)).astype(np.int64)
-        at = np.minimum(at + move, size)
+        at = np.minimum(at + move, sizes)
     return out
 
 
@@ -140,22 +136,31 @@ def _sampled(size: int, walk: int) -> np.ndarray:
     return np.sort(chosen, axis=1)
 
 
-def table_keys(windows: np.ndarray) -> np.ndarray:
-    """A key for each of the windows, which are of one size, and table."""
-    size = windows.shape[1]
+def table_keys(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key for each window and table; windows are padded with 0 to the longest and differ in size."""
+    known, which = np.unique(sizes, return_inverse=True)
+    rows = np.arange(len(windows))[:, None]
     keys = []
     for walk in range(WALKS):
-        sampled = _sampled(size, walk)
-        places, which = np.unique(sampled, return_inverse=True)
-        out, which = _walk(windows, walk + 1, places), which.reshape(sampled.shape)
-        tables = np.arange(walk * 100 + 1, walk * 100 + 1 + len(sampled), dtype=_U)
-        key = np.broadcast_to(tables + _U(size * 1000), (len(windows), len(sampled)))
+        out = _walk(windows, sizes, walk + 1)
+        places = np.stack([_sampled(int(size), walk) for size in known])[which]
+        key = sizes.astype(_U)[:, None] * _U(1000) + np.arange(walk * 100 + 1, walk * 100 + 1 + places.shape[1], dtype=_U)
         for j in range(SAMPLED):
-            key = _words.mix(key * _U(0x9E3779B97F4A7C15) + out[which[:, j]].T)
+            key = _words.mix(key * _U(0x9E3779B97F4A7C15) + out[places[:, :, j], rows])
         keys.append(key)
     return np.concatenate(keys, axis=1)
 
 
+def _alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of ``sizes`` of one octave, some at a time, so that padding to the longest at most doubles what is held."""
+    octave = np.frexp(sizes)[1]
+    for x in np.unique(octave).tolist():
+        of = np.flatnonzero(octave == x)
+        step = max(1, _WINDOW_WORDS // int(sizes[of].max()))
+        for at in range(0, len(of), step):
+            yield of[at : at + step]
+
+
 def best_passage(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """(edits, first word, one past the last) of the passage of ``words`` nearest to the item; of equals the shortest, then the first."""
     size = len(words)
@@ -208,22 +213,20 @@ def _meetings(hashes: np.ndarray, bounds: np.ndarray, proposed: np.ndarray, item
     """Distinct rows (document, item, first word) of windows and items that meet in some table."""
     # a window is looked at once, whichever items of its size propose it
     windows = np.unique(np.stack([items.sizes[proposed[:, 0]], proposed[:, 1], proposed[:, 2]], axis=1), axis=0)
-    edges = np.flatnonzero(np.diff(windows[:, 0], prepend=-1, append=-1))
+    padded = np.concatenate([hashes, np.zeros(int(items.sizes.max()), _U)])
     met = []
-    for low, high in zip(edges, edges[1:]):
-        size = int(windows[low, 0])
-        padded = np.concatenate([hashes, np.zeros(size, _U)])
-        step = max(1, _WINDOW_WORDS // size)
-        for at in range(low, high, step):
-            _, document, first = windows[at : min(high, at + step)].T
-            place = first[:, None] + np.arange(size)
-            keys = table_keys(np.where(place < bounds[document + 1][:, None], padded[place], _U(0))).ravel()
-            left, right = np.searchsorted(items.table, keys, "left"), np.searchsorted(items.table, keys, "right")
-            hit = np.flatnonzero(right > left)
-            count = (right - left)[hit]
-            spot = np.repeat(left[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            window = np.repeat(hit // (len(keys) // len(document)), count)
-            met.append(np.unique(np.stack([document[window], items.owner[spot].astype(np.int64), first[window]], axis=1), axis=0))
+    for of in _alike(windows[:, 0]):
+        size, document, first = windows[of].T
+        own = np.arange(int(size.max()))
+        place = first[:, None] + own
+        inside = (own < size[:, None]) & (place < bounds[document + 1][:, None])
+        keys = table_keys(np.where(inside, padded[place], _U(0)), size).ravel()
+        left, right = np.searchsorted(items.table, keys, "left"), np.searchsorted(items.table, keys, "right")
+        hit = np.flatnonzero(right > left)
+        count = (right - left)[hit]
+        spot = np.repeat(left[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        window = np.repeat(hit // (len(keys) // len(document)), count)
+        met.append(np.unique(np.stack([document[window], items.owner[spot].astype(np.int64), first[window]], axis=1), axis=0))
     return np.concatenate(met) if met else np.zeros((0, 3), np.int64)
 
 
