@@ -56,6 +56,33 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, got)) == sorted(map(tuple, stages[-1][1].collect()))
 
 
+def test_nulls_long_texts_repeated_rows_and_extra_columns(spark, tmp_path):
+    plain = "the house by the river stood empty for a long time and nobody asked why "
+    rows = [(1, None, "en", "a", None, 1), (2, "", None, None, 0, 2), (3, plain, "en", "a", len(plain), 3), (3, plain, "en", "a", len(plain), 3), (4, plain, None, "b", len(plain), 4)]
+    rows += [(5, "word " * 200_000, "en", "a", 1_000_000, 5), (None, "without an id but with words of its own", "en", "c", 39, 6), (6, "token=Zk81Mq0pLx27Vt only here", "en", "a", 31, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.node` int")
+    (tmp_path / "t").mkdir()
+    docs.write.parquet(str(tmp_path / "t/documents.parquet"))
+    spark.createDataFrame([(1, "a passage of the benchmark that no document of this table holds at all"), (2, None)], "item_id long, text string").write.parquet(
+        str(tmp_path / "t/benchmark.parquet")
+    )
+    got = corpus_pipeline.run(spark, str(tmp_path / "t")).collect()
+    assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted([(3, "a"), (3, "a"), (5, "a"), (None, "c"), (6, "a")], key=str)
+    codec = bpe.codec(*bpe.default_vocabulary())
+    import numpy as np
+
+    texts = {r.doc_id: codec.decode(np.frombuffer(r.token_ids, "<u4")).decode() for r in got}
+    assert texts[6] == "[secret] only here" and texts[5] == "word " * 200_000
+
+
+def test_an_empty_table(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "t/documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "t/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "t")).collect() == []
+
+
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5 and all(re.fullmatch(r"\w+", n) for n, _ in corpus_pipeline.STAGES)
     assert decontaminate.EDITS == 25
