@@ -1,6 +1,9 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import zstandard
 
 from siftstone.llm import langid, quality
 
@@ -53,6 +56,44 @@ def test_codewords_differ_in_half_of_their_bits():
         assert min(far) * 2 >= code.shape[1] * 0.9
 
 
+def decoded(model, text):
+    """Language and score of one text: n-grams counted one by one, the loss of each codeword added up bit by bit."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    seen = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    seen = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in seen)
+    spots = Counter()
+    for length, factor in ((2, 0x9E3779B97F4A7C15), (3, 0xC2B2AE3D27D4EB4F)):
+        for gram, n in Counter(seen[i : i + length] for i in range(len(seen) - length + 1)).items():
+            if gram.strip(b" "):
+                spots[int.from_bytes(gram, "big") * factor % (1 << 64) >> 54] += n
+    total = sum(spots.values())
+    losses = []
+    for word in model.code:
+        loss = 0.0
+        for bit, sign in enumerate(word):
+            margin = model.weights[-1, bit] + sum(math.sqrt(n / total) * model.weights[at, bit] for at, n in spots.items())
+            loss += model.trust[bit] * math.exp(-min(4, max(-4, margin * sign)))
+        losses.append(loss / model.trust.sum())
+    shares = [math.exp(-model.sharpness * (x - min(losses))) for x in losses]
+    best = losses.index(min(losses))
+    return model.languages[best], shares[best] / sum(shares)
+
+
+def test_language_against_decoding_text_by_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(-1, None, "en"), (-2, "", "en"), (-3, "é", None), (-4, "x", None), (-5, "12 !", "de"), (-6, "der hund und the dog " * 20_000, None)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    model = langid.train(docs)
+    want = {r.doc_id: decoded(model, r.text) for r in docs.collect()}
+    got = langid.identify(docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        lang, score = want[r.doc_id]
+        assert abs(r.score - score) < 1e-4, r.doc_id
+        assert r.lang_pred == lang or abs(r.score - 1 / len(model.languages)) < 1e-3, r.doc_id
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))
@@ -82,3 +123,25 @@ def test_quality_edge_cases(spark):
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert len(quality.classify(docs, labels.limit(0)).collect()) == 6
     assert quality.classify(docs.limit(0), labels).collect() == []
+
+
+def test_quality_against_compressing_text_by_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = [(-1, None), (-2, ""), (-3, "é"), (-4, "click here now " * 100_000)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    assert model.good and model.bad and model.slope
+
+    def size(text, content):
+        table = zstandard.ZstdCompressionDict(content)
+        table.precompute_compress(level=quality.LEVEL)
+        return len(zstandard.ZstdCompressor(dict_data=table, write_content_size=False, write_dict_id=False).compress(text))
+
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        good, bad = size(texts[r.doc_id], model.good), size(texts[r.doc_id], model.bad)
+        score = 1 / (1 + math.exp(-(model.slope * (bad - good) / (bad + good) + model.offset)))
+        assert abs(r.score - score) < 1e-9 and r.predicted == (r.score >= 0.5), r.doc_id
