@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from siftstone.llm import _words
 from siftstone.llm._scratch import materialise
@@ -30,6 +31,8 @@ KEY = 20240607
 ROUNDS = 6
 #: Ranges of shards that are written one after the other.
 PASSES = 3
+#: Shards that one task of a pass writes, one after the other; there are at least as many tasks as cores.
+TASK_SHARDS = 64
 #: The id that ends a document and fills its last sequence; the vocabulary leaves it free.
 END_OF_TEXT = 50256
 
@@ -130,18 +133,18 @@ def ordered_sequences(
         starts[task] = total
         total += count
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shuffle = Permutation(total, key)
-        firsts = np.zeros(max(starts, default=0) + 1, np.int64)
-        firsts[list(starts)] = list(starts.values())
-        for batch in batches:
-            numbers = firsts[batch.column("task").to_numpy()] + batch.column("place").to_numpy()
-            yield pa.record_batch(
-                [pa.array(shuffle.slots(numbers)), pa.array(numbers), *(batch.column(n) for n in ("doc_id", "part", "n_tokens", "token_ids"))],
-                names=["slot", "number", "doc_id", "part", "n_tokens", "token_ids"],
-            )
+    firsts = np.zeros(max(starts, default=0) + 1, np.int64)
+    firsts[list(starts)] = list(starts.values())
+
+    # only the two numbers go to Python; the tokens stay in the JVM
+    @arrow_udf("struct<slot:long,number:long>")
+    def placed(task: pa.Array, place: pa.Array) -> pa.Array:
+        numbers = firsts[task.to_numpy()] + place.to_numpy()
+        return pa.StructArray.from_arrays([pa.array(Permutation(total, key).slots(numbers)), pa.array(numbers)], names=["slot", "number"])
 
-    return cut.mapInArrow(place, "slot long, number long, doc_id long, part int, n_tokens int, token_ids binary")
+    # marked so that a filter on slots doesn't work them out a second time
+    at = placed.asNondeterministic()("task", "place").alias("at")
+    return cut.select(at, "doc_id", "part", "n_tokens", "token_ids").select("at.slot", "at.number", "doc_id", "part", "n_tokens", "token_ids")
 
 
 _SHARD = "shard long, first_slot long, n_slots long, stride int, sha256 string, doc_ids array<long>, parts array<int>, n_tokens array<int>, data binary"
@@ -158,12 +161,14 @@ def _shard(rows: pa.Table, number: int, length: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in _SHARD.split(", ")])
 
 
-def shards(sequences: DataFrame, length: int = SEQUENCE_TOKENS, rows: int = SHARD_ROWS) -> DataFrame:
+def shards(sequences: DataFrame, length: int = SEQUENCE_TOKENS, rows: int = SHARD_ROWS, span: tuple[int, int] | None = None) -> DataFrame:
     """One row per shard: the range of slots, what lies in each of them, and the shard's bytes at a fixed stride.
 
     Partitions are ranges of shards, so a task goes through its slots in order
     and holds one shard at a time.  No sequences give no shard.  A null id or
-    text is in its slot like any other.
+    text is in its slot like any other.  Where it is known that all shards lie
+    in ``span`` (the first, one past the last), ranges are cut by number, with
+    no look at the sequences beforehand, and grow in number with them.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +188,13 @@ def shards(sequences: DataFrame, length: int = SEQUENCE_TOKENS, rows: int = SHAR
             yield _shard(pa.concat_tables(held), held[0]["shard"][0].as_py(), length)
 
     keyed = sequences.select(F.floor(F.col("slot") / rows).alias("shard"), "slot", "doc_id", "part", "n_tokens", "token_ids")
-    return keyed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(build, _SHARD)
+    if span is None:
+        ranges = keyed.repartitionByRange("shard")
+    else:
+        first, count = span[0], span[1] - span[0]
+        tasks = min(count, max(sequences.sparkSession.sparkContext.defaultParallelism, -(-count // TASK_SHARDS)))
+        ranges = keyed.repartitionById(tasks, F.floor((F.col("shard") - first) * tasks / count).cast("int"))
+    return ranges.sortWithinPartitions("slot").mapInArrow(build, _SHARD)
 
 
 def write_shards(built: DataFrame, uri: str) -> DataFrame:
@@ -221,10 +232,10 @@ def write_order(sequences: DataFrame, uri: str, length: int = SEQUENCE_TOKENS, r
     count = -(-sequences.count() // rows)
     manifest = None
     for p in range(passes):
-        low, high = (count * x // passes * rows for x in (p, p + 1))
+        low, high = (count * x // passes for x in (p, p + 1))
         if low < high:
-            part = sequences.where((F.col("slot") >= low) & (F.col("slot") < high))
-            written = materialise(write_shards(shards(part, length, rows), uri), "manifest")
+            part = sequences.where((F.col("slot") >= low * rows) & (F.col("slot") < high * rows))
+            written = materialise(write_shards(shards(part, length, rows, (low, high)), uri), "manifest")
             manifest = written if manifest is None else manifest.unionByName(written)
     return sequences.sparkSession.createDataFrame([], _SHARD.removesuffix(", data binary")) if manifest is None else manifest
 

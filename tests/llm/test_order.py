@@ -40,6 +40,20 @@ def check(docs, rows, length=64):
     return want
 
 
+def test_ranges_cut_by_number_give_the_same_shards(spark, monkeypatch):
+    monkeypatch.setattr(order, "TASK_SHARDS", 1)
+    rows = [(i, "word " * (i % 90)) for i in range(300)]
+    sequences = order.ordered_sequences(spark.createDataFrame(rows, "doc_id long, text string"), length=16)
+    count = -(-sequences.count() // 8)
+    asked = sequences.where(f"slot >= {8 * 5}")
+    plain = order.shards(asked, 16, 8).collect()
+    cut = order.shards(asked, 16, 8, (5, count))
+    assert cut.rdd.getNumPartitions() == count - 5
+    assert sorted(map(str, cut.collect())) == sorted(map(str, plain)) and len(plain) == count - 5
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
 def test_documents_against_brute_force_whatever_the_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
