@@ -34,9 +34,11 @@ from siftstone.llm._scratch import discard, materialise, shuffles_end_with_the_w
 from siftstone.llm.eliasfano import Trie, dequantise, quantise
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-BATCH_TOKENS = 500_000
-SHARD_TOKENS = 600_000
+BATCH_TOKENS = 400_000
+SHARD_TOKENS = 400_000
 DISCOUNT = 0.8
+#: Shares of the shards that are taught one after the other: only a share's blocks lie on disk at a time.
+PASSES = 2
 #: Blocks of a shard that are searched for at once.
 ANSWERED = 32
 #: A word is told by the upper 56 bits of its hash; marks have lower ones too.
@@ -191,9 +193,13 @@ class _Deal:
 
 
 class _Layout:
-    """The distinct trigrams of a batch in the order of their shards; the same wherever it is computed."""
+    """The distinct trigrams of a batch in the order of their shards; the same wherever it is computed.
 
-    def __init__(self, deal: _Deal, places: np.ndarray, lengths: np.ndarray, shards: int):
+    Of several ``passes`` it holds the trigrams of one share of the shards, each
+    shard's as the whole layout has them.
+    """
+
+    def __init__(self, deal: _Deal, places: np.ndarray, lengths: np.ndarray, shards: int, passes: int = 1, own_pass: int = 0):
         places = places.astype(np.int64)
         lengths = np.asarray(lengths, np.int64)
         self.lengths = lengths
@@ -212,16 +218,19 @@ class _Layout:
         at = np.flatnonzero(begins)
         u, v, w = sequence[at], sequence[at + 1], sequence[at + 2]
         size = self.size = len(deal.deal)
+        parts = np.ones(size, np.int64)
+        parts[deal.heavy] = deal.parts
+        number = deal.deal.astype(_U)
+        home, spread = (number % _U(shards)).astype(np.int64), (_words.mix(number) >> _U(33)).astype(np.int64)
+        begin_doc = np.repeat(np.arange(len(lengths)), lengths + 2)
+        if passes > 1:
+            own_shard = (home[u] + spread[v] % parts[u]) % shards % passes == own_pass
+            u, v, w, begin_doc = u[own_shard], v[own_shard], w[own_shard], begin_doc[own_shard]
         pairs, pair_of = np.unique(u * size + v, return_inverse=True)
         triples, triple_of = np.unique(pair_of * size + w, return_inverse=True)
         pair_of_triple = triples // size
         pair_u, pair_v = pairs // size, pairs % size
-        parts = np.ones(size, np.int64)
-        parts[deal.heavy] = deal.parts
-        number = deal.deal.astype(_U)
-        shard = (number[pair_u] % _U(shards)).astype(np.int64)
-        shard += (_words.mix(number[pair_v]) >> _U(33)).astype(np.int64) % parts[pair_u]
-        shard %= shards
+        shard = (home[pair_u] + spread[pair_v] % parts[pair_u]) % shards
         pair_order = np.argsort(shard, kind="stable")
         triple_order = np.argsort(shard[pair_of_triple], kind="stable")
         back = np.empty_like(pair_order)
@@ -231,8 +240,8 @@ class _Layout:
         back3 = np.empty_like(triple_order)
         back3[triple_order] = np.arange(len(triple_order))
         self.pair_at, self.triple_at = back[pair_of], back3[triple_of]  # of each trigram's beginning
-        self.begin_doc = np.repeat(np.arange(len(lengths)), lengths + 2)
-        self.heavy = [(i, int(number[i] % _U(shards)), n) for i, n in zip(deal.heavy.tolist(), deal.parts.tolist())]
+        self.begin_doc = begin_doc
+        self.heavy = [(i, int(home[i]), n) for i, n in zip(deal.heavy.tolist(), deal.parts.tolist())]
         self.shards = shards
 
     def blocks(self):
@@ -261,17 +270,19 @@ def _prints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(32)).astype(np.uint32)
 
 
-def _send(shards: int, heavy: dict[int, int]):
+def _send(shards: int, heavy: dict[int, int], passes: int, own_pass: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 vocabulary = _vocabulary(batch.column("vocabulary")[i].as_buffer())
                 places = _loosen(batch.column("places")[i].as_buffer(), np.int32)
-                layout = _Layout(_Deal.of(vocabulary, shards, heavy), places, batch.column("lengths")[i].values.to_numpy(), shards)
+                layout = _Layout(_Deal.of(vocabulary, shards, heavy), places, batch.column("lengths")[i].values.to_numpy(), shards, passes, own_pass)
                 learned = ~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
                 counts = np.bincount(layout.triple_at, weights=learned[layout.begin_doc], minlength=len(layout.triple_w)).astype(np.uint32)
                 out: dict[str, list] = {"shard": [], "block": []}
                 for shard, words, a, z, a3, z3 in layout.blocks():
+                    if shard % passes != own_pass:
+                        continue
                     pairs = np.bincount(np.searchsorted(words, layout.pair_u[a:z]), minlength=len(words)).astype(np.int32)
                     triples = np.bincount(layout.triple_pair[a3:z3] - a, minlength=z - a).astype(np.int32)
                     second, third = _prints(vocabulary[layout.pair_v[a:z]]), _prints(vocabulary[layout.triple_w[a3:z3]])
@@ -520,8 +531,11 @@ def _plan(packed: DataFrame, shard_tokens: int) -> tuple[int, dict[int, int]]:
     return shards, {word: min(shards, -(-n // share)) for word, n in _heavy(packed, batches, share).items()}
 
 
-def _sent(packed: DataFrame, shards: int, heavy: dict[int, int]) -> DataFrame:
-    return packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(_send(shards, heavy), "batch long, shard int, block binary")
+def _sent(packed: DataFrame, shards: int, heavy: dict[int, int], passes: int = 1, own_pass: int = 0) -> DataFrame:
+    """The blocks for every shard, or for one of ``passes`` shares of them."""
+    return packed.select("batch", "held", "lengths", "vocabulary", "places").mapInArrow(
+        _send(shards, heavy, passes, own_pass), "batch long, shard int, block binary"
+    )
 
 
 def _assembled(packed: DataFrame, answers: DataFrame, shards: int, heavy: dict[int, int], totals: tuple[int, int, int]) -> DataFrame:
@@ -540,6 +554,7 @@ def scores(
     fold: int = HELD_OUT_FOLD,
     batch_tokens: int = BATCH_TOKENS,
     shard_tokens: int = SHARD_TOKENS,
+    passes: int = PASSES,
 ) -> DataFrame:
     """One row per row of ``docs``, with the scores of the model learned from the rows outside fold ``fold``.
 
@@ -554,7 +569,10 @@ def scores(
     """
     packed = _batched(docs, id_col, text_col, folds, fold, batch_tokens)
     shards, heavy = _plan(packed, shard_tokens)
-    learned = materialise(_sent(packed, shards, heavy).groupBy("shard").applyInArrow(_shard(heavy, True, False), _SHARD), "answers")
+    learned = None
+    for p in range(passes):
+        taught = materialise(_sent(packed, shards, heavy, passes, p).groupBy("shard").applyInArrow(_shard(heavy, True, False), _SHARD), "answers")
+        learned = taught if learned is None else learned.unionByName(taught)
     totals = _totals(learned.where("batch is null"))
     return _assembled(packed, learned.where("batch is not null").select("batch", "shard", "answer"), shards, heavy, totals)
 

@@ -70,6 +70,14 @@ def test_documents_against_brute_force(spark):
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held) and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("passes", [1, 3, 50])
+def test_shards_taught_in_shares(spark, passes):
+    docs, rows = rows_of(spark)
+    some = rows[:80] + [(None, "x"), (1, None)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    check(lm.scores(docs, batch_tokens=3000, shard_tokens=2000, passes=passes).collect(), brute(some))
+
+
 def test_many_shards_batches_and_dealt_words(spark, monkeypatch):
     import siftstone.llm._words as words
 
