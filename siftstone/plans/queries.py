@@ -457,7 +457,7 @@ def stream_window_counts(spark, sf_dir):
     schema = _table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     path = scratch_path(spark, "stream")
-    timed = _filled(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = _filled(payloads.spread(stream.select("event_id", "ts", "event_type"))).withColumn("ts", F.col("ts").cast("timestamp"))
     detection.start(detection.window_counts(detection.detected(timed)), f"{path}/windows", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/windows").withColumn("window_start", F.col("window_start").cast(schema["ts"].dataType))
 

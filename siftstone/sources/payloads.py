@@ -112,7 +112,10 @@ def spread(rows: DataFrame) -> DataFrame:
     """``rows`` dealt to all cores if they come in fewer partitions than there are cores.
 
     Scanning a payload costs far more than moving it, and a small file is one
-    partition; a large input has many and isn't shuffled.
+    partition; a large input has many and isn't shuffled.  A stream is always
+    dealt, as the files of its batches aren't known beforehand.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.isStreaming:
+        return rows.repartition(cores)
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
