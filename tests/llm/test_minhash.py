@@ -1,6 +1,7 @@
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from siftstone.llm import minhash
@@ -99,3 +100,22 @@ def test_very_long_text(spark):
 def test_band_recall_is_the_documented_one(similar):
     miss = (1 - similar**minhash.ROWS) ** minhash.BANDS
     assert miss < 2.1e-5
+
+
+@pytest.mark.parametrize(("common", "own", "pairs"), [(3, 1, 20000), (6, 2, 20000), (30, 10, 10000), (300, 100, 1500)])
+def test_band_recall_measured_at_the_limit(common, own, pairs):
+    """Pairs of sets at similarity 0.75 exactly: coordinates agree as often, and hardly a pair meets in no band."""
+    rng = np.random.default_rng(common)
+    count = minhash.BANDS * minhash.ROWS
+    missed, agreed = 0, 0
+    for _ in range(pairs):
+        values = rng.integers(0, 1 << 63, common + own, dtype=np.uint64)
+        mine = own // 2
+        left = np.concatenate([values[:common], values[common : common + mine]])
+        right = np.concatenate([values[:common], values[common + mine :]])
+        a, b = minhash._coordinates(left, count), minhash._coordinates(right, count)
+        same = (a == b).reshape(minhash.BANDS, minhash.ROWS)
+        agreed += same.mean()
+        missed += not same.all(axis=1).any()
+    assert abs(agreed / pairs - 0.75) < 0.005
+    assert missed <= max(1, pairs * 1e-4)
