@@ -11,7 +11,7 @@ first: the members whose id, mixed with the band, is least and greatest.  As
 each band mixes otherwise, a member of a large group meets up to 2 * BANDS
 different ends.  Buckets whose members are still apart are joined into clouds by
 the members they share.  In a cloud everything outside its largest component is
-compared with everything, block against block: a task counts the shingles that
+compared with everything, each two blocks once: a task counts the shingles that
 two blocks of sets have in common and returns links, never pairs.  So no link
 between members of a bucket is given up, and a large group that is linked
 through its ends costs a linear number of pairs.
@@ -200,13 +200,16 @@ def _between_components(open_rows: DataFrame, sets: DataFrame, threshold: int) -
     each = counts.groupBy("cloud").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
     blocks = lambda rows: F.ceil(rows / _BLOCK_NODES).cast("int")
     clouds = each.where(F.col("total") > F.col("most.n")).select(
-        "cloud", F.col("most.label").alias("main"), blocks(F.col("total") - F.col("most.n")).alias("rows"), blocks(F.col("total")).alias("columns")
+        "cloud", F.col("most.label").alias("main"), blocks(F.col("total") - F.col("most.n")).alias("rows"), blocks(F.col("most.n")).alias("more")
     )
     full = materialise(nodes.join(clouds, "cloud").join(sets, "node"), "open_sets")
-    deal = lambda count, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = full.where("label <> main").select("cloud", "node", "label", "shingles", deal("rows", 1).alias("i"), every("columns").alias("j"))
-    right = full.select("cloud", "node", "label", "shingles", deal("columns", 2).alias("j"), every("rows").alias("i"))
+    # Blocks below ``rows`` hold what is outside the largest component; each meets itself and every later one.
+    deal = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    full = full.withColumn("block", F.when(F.col("label") != F.col("main"), deal("rows")).otherwise(F.col("rows") + deal("more")))
+    later = F.sequence("block", F.col("rows") + F.col("more") - 1)
+    earlier = F.sequence(F.lit(0), F.least("block", F.col("rows") - 1))
+    left = full.where("label <> main").select("cloud", "node", "label", "shingles", F.col("block").alias("i"), F.explode(later).alias("j"))
+    right = full.select("cloud", "node", "label", "shingles", F.col("block").alias("j"), F.explode(earlier).alias("i"))
     key = ("cloud", "i", "j")
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_links(threshold), "a long, b long").distinct()
 

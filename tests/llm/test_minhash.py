@@ -51,9 +51,11 @@ def test_against_brute_force_on_documents(spark):
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == brute(rows)
 
 
-def test_chains_and_outliers_of_one_bucket(spark):
+@pytest.mark.parametrize("block", [256, 4])
+def test_chains_and_outliers_of_one_bucket(spark, monkeypatch, block):
     import random
 
+    monkeypatch.setattr(minhash, "_BLOCK_NODES", block)
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(120)]
     rows = []
