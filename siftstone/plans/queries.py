@@ -88,9 +88,7 @@ def xss_pages_verdict(spark, sf_dir):
 
 
 def _html_names(spark, sf_dir, kind: str) -> DataFrame:
-    tokens = payloads.spread(_table(spark, sf_dir, "pages").select("html")).select(F.explode(columns.html5_tokens("html")).alias("t"))
-    name = F.lower(F.col("t.val").cast("string")).alias("name")
-    return tokens.where(F.col("t.type") == kind).select(name).groupBy("name").agg(F.count("*").alias("n"))
+    return sinks.html_names(payloads.spread(_table(spark, sf_dir, "pages").select("html")), kind, "html")
 
 
 @query("""SELECT name, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(

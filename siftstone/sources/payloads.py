@@ -108,14 +108,23 @@ def short_and_clean(payloads: DataFrame, column: str = "payload", below: int = 1
     return payloads.where((F.octet_length(data) < below) & ~F.contains(data, F.lit(b"\0")))
 
 
+#: Rows of a task that scans payloads, where they are dealt: 4 KB pages take over a millisecond each, and so a task about a minute.
+TASK_ROWS = 50_000
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt to all cores if they come in fewer partitions than there are cores.
+    """``rows`` dealt evenly to all cores, and to more tasks where one would have over TASK_ROWS rows.
 
-    Scanning a payload costs far more than moving it, and a small file is one
-    partition; a large input has many and isn't shuffled.  A stream is always
-    dealt, as the files of its batches aren't known beforehand.
+    Scanning a payload costs far more than moving it.  How rows lie is counted,
+    as partitions don't tell: those of a file with one row group are empty but
+    for one.  Rows that already lie in partitions of at most twice an even share
+    aren't shuffled.  A stream is always dealt, to the cores alone, as the files
+    of its batches aren't known beforehand.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     if rows.isStreaming:
         return rows.repartition(cores)
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    lying = rows.groupBy(F.spark_partition_id().alias("__part")).agg(F.count("*").alias("n"))  # of Parquet, this reads footers alone
+    total, largest = lying.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    tasks = max(cores, -(-total // TASK_ROWS))
+    return rows.repartition(tasks) if largest > 2 * -(-total // tasks) else rows

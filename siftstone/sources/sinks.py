@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions import htmlscan
+
 TOKEN_COLUMNS = ("token_index", "token_type", "value", "position", "length", "str_open", "str_close")
 
 
@@ -90,6 +93,25 @@ def byte_counts(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return payloads.select(F.col(column).cast("binary")).mapInArrow(count, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
+def html_names(payloads: DataFrame, kind: str, column: str = "payload") -> DataFrame:
+    """(name, n): how often each name occurs in the HTML tokens of type ``kind`` of all payloads, in small letters.
+
+    Counted batch by batch as the tokens come: a task holds one payload and its
+    batch's distinct names, and neither lists nor rows of tokens.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for data in batch.column(0):
+                if data.is_valid:
+                    found.update(t.val for t in htmlscan.Scanner(data.as_py()) if t.type == kind)
+            yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["name", "n"])
+
+    counted = payloads.select(F.col(column).cast("binary")).mapInArrow(count, "name binary, n long")
+    return counted.groupBy(F.lower(F.col("name").cast("string")).alias("name")).agg(F.sum("n").alias("n"))
+
+
 def byte_rows(payloads: DataFrame, key: str, column: str = "payload") -> DataFrame:
     """(key, pos, byte, value, class): a row for each byte."""
     digits = F.hex(F.col(column).cast("binary"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import columns, htmlscan, sqlscan
 from siftstone.functions.lexicon import collected, load
 from siftstone.operators import compare, report, verdict
-from siftstone.plans import golden
+from siftstone.plans import golden, queries
 from siftstone.sources import payloads, sinks
 from siftstone.streaming import detection
 
@@ -158,6 +158,46 @@ def test_report_on_an_empty_table_and_null_matches(spark):
 # ---------------------------------------------------------------- sources and sinks
 
 
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path, monkeypatch):
+    """A file in more pieces than there are cores, with all rows in one of them."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.range(0, 8000, 1, 1).write.parquet(str(tmp_path / "rows"))
+    size = max(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
+    parts = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // 16))
+        rows = spark.read.parquet(str(tmp_path / "rows"))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and parts(rows) == [8000]
+        dealt = payloads.spread(rows)
+        assert sum(parts(dealt)) == 8000 and max(parts(dealt)) <= 2000 and dealt.distinct().count() == 8000
+        assert payloads.spread(spark.range(0, 8000, 1, 16)).rdd.getNumPartitions() == 16
+        monkeypatch.setattr(payloads, "TASK_ROWS", 100)  # beyond that, tasks grow in number and not in size
+        assert len(parts(payloads.spread(rows))) == 80
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert payloads.spread(spark.range(0)).collect() == []
+
+
+def test_html_names_are_counted_without_rows_of_tokens(spark):
+    pages = ["<P a=1>x<p A=2 b></p><!-- <q> -->", None, "", "<a href=x><a/b>", "no tag", "<\u00c4\u00e9 x><b\u00c9>"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    for kind in ("TAG_NAME_OPEN", "ATTR_NAME"):
+        each = df.select(F.explode(columns.html5_tokens("html")).alias("t")).where(F.col("t.type") == kind)
+        want = each.groupBy(F.lower(F.col("t.val").cast("string")).alias("name")).count()
+        got = sinks.html_names(df, kind, "html")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sinks.html_names(df.limit(0), "ATTR_NAME", "html").collect() == []
+
+
+def _plan(spark, name: str) -> str:
+    return queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tag_counts_make_no_rows_of_tokens(spark):
+    plan = _plan(spark, "xss_tag_counts")
+    assert "MapInArrow" in plan and "Generate" not in plan and "ArrowEvalPython" not in plan
+
+
 def test_line_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  one \n\n# note\n two%20x+y \n%zz\n")
     got = sorted(bytes(r.payload) for r in payloads.lines(spark, str(tmp_path / "a.txt")).collect())
