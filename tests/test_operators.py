@@ -198,6 +198,11 @@ def test_tag_counts_make_no_rows_of_tokens(spark):
     assert "MapInArrow" in plan and "Generate" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_attribute_counts_make_no_rows_of_tokens(spark):
+    plan = _plan(spark, "xss_attr_counts")
+    assert "MapInArrow" in plan and "Generate" not in plan and "ArrowEvalPython" not in plan
+
+
 def test_line_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  one \n\n# note\n two%20x+y \n%zz\n")
     got = sorted(bytes(r.payload) for r in payloads.lines(spark, str(tmp_path / "a.txt")).collect())
