@@ -177,7 +177,7 @@ _CLASS_CASE = " ".join(f"WHEN h IN ({', '.join(f'{b:02X}'.join(chr(39) * 2) for
 @query(f"""SELECT class, count(*) AS n FROM (SELECT CASE {_CLASS_CASE} ELSE 'word' END AS class FROM
   (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)) GROUP BY class""")
 def sqli_char_class(spark, sf_dir):
-    counted = sinks.byte_counts(payloads.spread(_table(spark, sf_dir, "documents").select("text")), "text")
+    counted = sinks.byte_counts(_table(spark, sf_dir, "documents").select("text"), "text")  # where they lie: counting costs less than moving
     return counted.groupBy(sinks.byte_class(F.col("byte")).alias("class")).agg(F.sum("n").alias("n"))
 
 

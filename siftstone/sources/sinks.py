@@ -78,6 +78,18 @@ def byte_class(byte: Column) -> Column:
     return found
 
 
+#: Bytes counted at once: numpy takes eight bytes of memory for each.
+_PIECE = 1 << 20
+
+
+def count_bytes(data: np.ndarray) -> np.ndarray:
+    """How often each of the 256 values occurs, counted piece by piece."""
+    found = np.zeros(256, np.int64)
+    for at in range(0, len(data), _PIECE):
+        found += np.bincount(data[at : at + _PIECE], minlength=256)
+    return found
+
+
 def byte_counts(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """(byte, n): how often each byte occurs in all payloads, bytes as in ``byte_class``; counted batch by batch, without a row for each byte."""
 
@@ -86,7 +98,7 @@ def byte_counts(payloads: DataFrame, column: str = "payload") -> DataFrame:
             data = batch.column(0).cast(pa.large_binary()).drop_null()
             _, offsets, values = data.buffers()
             ends = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else [0, 0]
-            found = np.bincount(np.frombuffer(values, np.uint8)[ends[0] : ends[-1]], minlength=256) if values is not None else np.zeros(256, np.int64)
+            found = count_bytes(np.frombuffer(values, np.uint8)[ends[0] : ends[-1]] if values is not None else np.zeros(0, np.uint8))
             some = np.flatnonzero(found)
             yield pa.record_batch([pa.array([f"{b:02X}" for b in some]), pa.array(found[some].astype(np.int64))], names=["byte", "n"])
 

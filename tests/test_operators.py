@@ -3,10 +3,12 @@ import os
 import shutil
 import subprocess
 import sys
+import tracemalloc
 import urllib.parse
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +205,17 @@ def test_attribute_counts_make_no_rows_of_tokens(spark):
     assert "MapInArrow" in plan and "Generate" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_bytes_are_counted_in_little_memory():
+    data = np.arange(24 << 20, dtype=np.uint32).astype(np.uint8)[3:]
+    tracemalloc.start()
+    try:
+        found = sinks.count_bytes(data)
+        assert tracemalloc.get_traced_memory()[1] < len(data)
+    finally:
+        tracemalloc.stop()
+    assert found.tolist() == np.bincount(data, minlength=256).tolist() and sinks.count_bytes(data[:0]).tolist() == [0] * 256
+
+
 def test_line_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  one \n\n# note\n two%20x+y \n%zz\n")
     got = sorted(bytes(r.payload) for r in payloads.lines(spark, str(tmp_path / "a.txt")).collect())
