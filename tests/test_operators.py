@@ -216,6 +216,12 @@ def test_bytes_are_counted_in_little_memory():
     assert found.tolist() == np.bincount(data, minlength=256).tolist() and sinks.count_bytes(data[:0]).tolist() == [0] * 256
 
 
+def test_tasks_grow_in_number_with_events(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/events.parquet").count()
+    monkeypatch.setattr(payloads, "TASK_ROWS", rows // 20)
+    assert queries._events(spark, SF).rdd.getNumPartitions() >= 20
+
+
 def test_line_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  one \n\n# note\n two%20x+y \n%zz\n")
     got = sorted(bytes(r.payload) for r in payloads.lines(spark, str(tmp_path / "a.txt")).collect())
