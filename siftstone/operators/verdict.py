@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import columns, sqlscan
 from siftstone.functions.lexicon import Dictionary, load
+from siftstone.sources import payloads as sources
 
 #: Dimension tables are broadcast up to this many rows; beyond it Spark chooses the join by size.
 BROADCAST_ROWS = 20_000
@@ -139,9 +140,9 @@ def scan_once(payloads: DataFrame, look, payload: str = "payload") -> DataFrame:
     kinds, rows = payloads.agg(F.approx_count_distinct(payload), F.count(payload)).first()
     if 2 * kinds > rows:
         return payloads.withColumn("result", look(F.col(payload).cast("binary")))
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kinds // sources.TASK_ROWS))
     distinct = payloads.select(F.col(payload).cast("binary").alias("__payload")).where("__payload is not null").distinct()
-    # dealt by the key of the join, and to as many tasks as there are: payloads are few bytes and much work
+    # dealt by the key of the join, and to as many tasks as there are, or more where one would be long: payloads are few bytes and much work
     dealt = distinct.select(F.sha2("__payload", 256).alias("__key"), "__payload").repartition(tasks, "__key")
     found = dealt.select("__key", look(F.col("__payload")).alias("result"))
     keyed = payloads.withColumn("__key", F.sha2(F.col(payload).cast("binary"), 256))

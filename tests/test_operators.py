@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -222,6 +223,15 @@ def test_tasks_grow_in_number_with_events(spark, monkeypatch):
     assert queries._events(spark, SF).rdd.getNumPartitions() >= 20
 
 
+def test_tasks_grow_in_number_with_distinct_payloads(spark, monkeypatch):
+    monkeypatch.setattr(payloads, "TASK_ROWS", 20)
+    df = spark.range(0, 1200, 1, 4).select("id", F.concat(F.lit("x "), (F.col("id") % 300).cast("string")).alias("payload"))
+    looked = verdict.scan_once(df, lambda p: columns.sqli_fingerprint(p))
+    plan = looked._jdf.queryExecution().optimizedPlan().toString()
+    assert int(re.search(r"RepartitionByExpression \[__key#\d+\], (\d+)", plan)[1]) >= 13
+    assert looked.count() == 1200 and [tuple(r) for r in looked.select("result").distinct().collect()] == [("n1",)]
+
+
 def test_line_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("  one \n\n# note\n two%20x+y \n%zz\n")
     got = sorted(bytes(r.payload) for r in payloads.lines(spark, str(tmp_path / "a.txt")).collect())
