@@ -223,6 +223,14 @@ def test_tasks_grow_in_number_with_events(spark, monkeypatch):
     assert queries._events(spark, SF).rdd.getNumPartitions() >= 20
 
 
+def test_compared_engines_are_dealt_to_more_tasks(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/events.parquet").count()
+    monkeypatch.setattr(payloads, "TASK_ROWS", rows // 20)
+    plan = queries.QUERIES["engine_compare"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    found = re.findall(r"Repartition (\d+), true", plan)
+    assert found and min(map(int, found)) >= 20
+
+
 def test_tasks_grow_in_number_with_distinct_payloads(spark, monkeypatch):
     monkeypatch.setattr(payloads, "TASK_ROWS", 20)
     df = spark.range(0, 1200, 1, 4).select("id", F.concat(F.lit("x "), (F.col("id") % 300).cast("string")).alias("payload"))
