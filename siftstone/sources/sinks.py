@@ -105,22 +105,32 @@ def byte_counts(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return payloads.select(F.col(column).cast("binary")).mapInArrow(count, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
+#: Distinct names that a task holds before it passes their counts on.
+_NAMES = 50_000
+
+
+def count_names(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Names in the HTML tokens of type ``kind`` of the first column, and counts; a name that comes after _NAMES others may come again."""
+    found: Counter = Counter()
+    out = lambda: pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["name", "n"])
+    for batch in batches:
+        for data in batch.column(0):
+            if data.is_valid:
+                found.update(t.val for t in htmlscan.Scanner(data.as_py()) if t.type == kind)
+                if len(found) >= _NAMES:
+                    yield out()
+                    found.clear()
+    yield out()
+
+
 def html_names(payloads: DataFrame, kind: str, column: str = "payload") -> DataFrame:
     """(name, n): how often each name occurs in the HTML tokens of type ``kind`` of all payloads, in small letters.
 
-    Counted batch by batch as the tokens come: a task holds one payload and its
-    batch's distinct names, and neither lists nor rows of tokens.
+    Counted as the tokens come: a task holds a batch of payloads (Spark's 64 MB
+    at most), its names up to _NAMES and one payload's, and neither lists nor
+    rows of tokens.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for data in batch.column(0):
-                if data.is_valid:
-                    found.update(t.val for t in htmlscan.Scanner(data.as_py()) if t.type == kind)
-            yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["name", "n"])
-
-    counted = payloads.select(F.col(column).cast("binary")).mapInArrow(count, "name binary, n long")
+    counted = payloads.select(F.col(column).cast("binary")).mapInArrow(lambda batches: count_names(batches, kind), "name binary, n long")
     return counted.groupBy(F.lower(F.col("name").cast("string")).alias("name")).agg(F.sum("n").alias("n"))
 
 

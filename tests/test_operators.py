@@ -10,6 +10,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,17 @@ def test_html_names_are_counted_without_rows_of_tokens(spark):
     assert sinks.html_names(df.limit(0), "ATTR_NAME", "html").collect() == []
 
 
+def test_distinct_html_names_are_held_in_bounded_number():
+    """Pages in which each name is new: counts are passed on as the names come, not batch by batch."""
+    pages = [b"<a " + b" ".join(b"n%d" % (i * 1000 + k) for k in range(1000)) + b" same>" for i in range(150)]
+    out = list(sinks.count_names(iter([pa.record_batch([pa.array(pages, pa.binary())], names=["html"])]), "ATTR_NAME"))
+    assert len(out) >= 3 and max(b.num_rows for b in out) < sinks._NAMES + 1001
+    got: Counter = Counter()
+    for batch in out:
+        got.update(dict(zip(*batch.to_pydict().values())))
+    assert got[b"same"] == 150 and len(got) == 150_001 and sum(got.values()) == 150_150
+
+
 def _plan(spark, name: str) -> str:
     return queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
