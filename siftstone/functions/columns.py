@@ -65,6 +65,10 @@ def _stats(fold: sqlscan.Fold) -> dict:
     return {"tokens": fold.pulled} | {f"comment_{k}": v for k, v in fold.comments.items()}
 
 
+def _checked(hit: bool, fold: sqlscan.Fold) -> dict:
+    return {"is_injection": hit, "fingerprint": fold.fingerprint, "tokens": [t.row() for t in fold.tokens], "stats": _stats(fold)}
+
+
 def detect_sqli(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
     """Verdict over all contexts, with the fingerprint and flags of the last one tried."""
 
@@ -79,8 +83,7 @@ def sqli_check(payload: Column | str, flags: Column | int = 0, dictionary: Dicti
     """Verdict, fingerprint, folded tokens and counts in one context."""
 
     def look(data: bytes, flags: int) -> dict:
-        hit, fold = sqlscan.check(data, flags, load(dictionary))
-        return {"is_injection": hit, "fingerprint": fold.fingerprint, "tokens": [t.row() for t in fold.tokens], "stats": _stats(fold)}
+        return _checked(*sqlscan.check(data, flags, load(dictionary)))
 
     return _applied(look, _CHECKED, CHECKED, payload, flags)
 
@@ -114,14 +117,13 @@ def sqli_word_type(word: Column | str, dictionary: Dictionary | None = None) ->
 
 
 def sqli_passes(payload: Column | str, flags: Column | int = 0, dictionary: Dictionary | None = None) -> Column:
-    """The contexts that were tried, in order: flags, verdict, fingerprint and counts."""
-    kind = pa.list_(pa.struct([("flags", _I), ("is_injection", pa.bool_()), ("fingerprint", _S), ("stats", _STATS)]))
+    """The contexts that were tried, in order: flags, verdict, fingerprint, folded tokens and counts."""
+    kind = pa.list_(pa.struct([("flags", _I), *_CHECKED]))
 
     def look(data: bytes, flags: int) -> list[dict]:
-        rows = sqlscan.passes(data, flags, load(dictionary))
-        return [{"flags": f, "is_injection": hit, "fingerprint": fold.fingerprint, "stats": _stats(fold)} for f, hit, fold in rows]
+        return [{"flags": f} | _checked(hit, fold) for f, hit, fold in sqlscan.passes(data, flags, load(dictionary))]
 
-    return _applied(look, kind, f"array<struct<flags:int,is_injection:boolean,fingerprint:string,stats:{STATS}>>", payload, flags)
+    return _applied(look, kind, f"array<{CHECKED.replace('<', '<flags:int,', 1)}>", payload, flags)
 
 
 def detect_xss(payload: Column | str, dictionary: Dictionary | None = None) -> Column:

@@ -158,7 +158,7 @@ def relational_sqli(payloads: DataFrame, key: str, payload: str = "payload", dic
     lexicon = load(dictionary)
     passes = payloads.select(key, F.col(payload).cast("binary").alias("payload"))
     tried = passes.select(key, "payload", F.posexplode(columns.sqli_passes("payload", 0, dictionary)).alias("step", "tried"))
-    folded = tried.select(key, "payload", "step", "tried.*").withColumn("tokens", columns.sqli_fold("payload", F.col("flags"), dictionary))
+    folded = tried.select(key, "payload", "step", "tried.*")  # with the tokens: a second function would scan each pass again, in workers of its own
     rows = [(f,) for f in sorted(lexicon.fingerprints)]
     listed = payloads.sparkSession.createDataFrame(rows, "__listed string")
     known = folded.join(bounded(listed, len(rows)), F.upper("fingerprint") == F.col("__listed"), "left").withColumn("listed", F.col("__listed").isNotNull())

@@ -235,6 +235,15 @@ def test_tasks_grow_in_number_with_events(spark, monkeypatch):
     assert queries._events(spark, SF).rdd.getNumPartitions() >= 20
 
 
+def test_relational_verdict_folds_each_pass_once(spark):
+    """A second Python function would take time and workers of its own; the tokens are those of folding by itself."""
+    plan = _plan(spark, "sqli_relational_verdict")
+    assert plan.count("ArrowEvalPython [") == 1 and "sqli_fold" not in plan
+    df = golden_payloads(spark).select("id", "payload", F.explode(columns.sqli_passes("payload")).alias("p"))
+    rows = df.select("p.flags", "p.tokens", columns.sqli_fold("payload", F.col("p.flags")).alias("alone")).collect()
+    assert len(rows) > 20 and all(r.tokens == r.alone for r in rows)
+
+
 def test_compared_engines_are_dealt_to_more_tasks(spark, monkeypatch):
     rows = spark.read.parquet(f"{SF}/events.parquet").count()
     monkeypatch.setattr(payloads, "TASK_ROWS", rows // 20)
