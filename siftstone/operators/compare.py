@@ -12,9 +12,11 @@ def compare(engine: DataFrame, oracle: DataFrame, key: str = "input") -> DataFra
     ``match_result`` compares verdicts; fingerprints are compared only where
     both are positive, and ``match_fingerprint`` is null elsewhere.  ``differs``
     is true where verdict or fingerprint differ in any way, null being a value.
+    Neither side is broadcast or sent to the driver.
     """
     side = lambda df, name: df.select(key, F.struct("is_injection", "fingerprint").alias(name))
-    both = side(engine, "engine").join(side(oracle, "oracle"), key)
+    # merged, as both sides have a row for each input: by the bytes of files, millions of rows pass for few enough to broadcast
+    both = side(engine, "engine").hint("merge").join(side(oracle, "oracle"), key)
     positive = F.col("engine.is_injection") & F.col("oracle.is_injection")
     same = lambda f: F.col(f"engine.{f}").eqNullSafe(F.col(f"oracle.{f}"))
     return both.select(

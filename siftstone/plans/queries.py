@@ -161,7 +161,7 @@ def sqli_templates_verdict(spark, sf_dir):
 @query(_SQLI_COUNTS)
 def sqli_relational_verdict(spark, sf_dir):
     events = _events(spark, sf_dir)
-    found = events.select("event_id", "template").join(verdict.relational_sqli(events, "event_id"), "event_id")
+    found = events.select("event_id", "template").hint("merge").join(verdict.relational_sqli(events, "event_id"), "event_id")
     return found.groupBy("template").agg(F.count("*").alias("n"), F.count_if("is_injection").alias("bad"))
 
 

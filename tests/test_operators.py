@@ -252,6 +252,13 @@ def test_compared_engines_are_dealt_to_more_tasks(spark, monkeypatch):
     assert found and min(map(int, found)) >= 20
 
 
+@pytest.mark.parametrize("name", ["engine_compare", "sqli_relational_verdict"])
+def test_rows_of_events_are_not_broadcast(spark, name):
+    plan = _plan(spark, name)
+    joins = re.findall(r"(\w+Join) \[(\w+)#", plan)
+    assert joins and all(kind == "SortMergeJoin" for kind, key in joins if key in ("input", "event_id"))
+
+
 def test_tasks_grow_in_number_with_distinct_payloads(spark, monkeypatch):
     monkeypatch.setattr(payloads, "TASK_ROWS", 20)
     df = spark.range(0, 1200, 1, 4).select("id", F.concat(F.lit("x "), (F.col("id") % 300).cast("string")).alias("payload"))
